@@ -27,8 +27,8 @@ from .common import Scratch, slices
 from .components import components
 from .shingles import minhashes, mixed, shingle_sets
 
-#: Members of one region in a block; a cell compares two blocks.
-BLOCK = 128
+#: Members and shingles of one region in a block, on average at most; a cell compares two blocks.
+BLOCK, BLOCK_SHINGLES = 512, 400_000
 #: Bits of the filter that keeps texts without any candidate out of the comparison; larger inputs fill it more.
 FILTER_BITS = 1 << 23
 
@@ -208,11 +208,10 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     near = scratch.write(pairs.select("a", "b", "x", "y").mapInArrow(lambda it: confirm_batches(it, forest.percent), "a long, b long"), "near")
     roots = components(near, scratch, "first")
 
-    members = scratch.write(
-        runs.select("region", "rep").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("region", "rep", F.coalesce("root", "rep").alias("root")), "members"
-    )
-    crowded = members.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 2 and low <> high")
-    crowded = scratch.write(crowded.select("region", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "crowded")
+    rooted = runs.select("region", "rep").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").join(sound.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size")).distinct(), "rep")
+    members = scratch.write(rooted.select("region", "rep", F.coalesce("root", "rep").alias("root"), "size").dropDuplicates(["region", "rep"]), "members")
+    crowded = members.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 2 and low <> high")
+    crowded = scratch.write(crowded.select("region", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "crowded")
     placed = members.join(crowded, "region").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     placed = placed.select("region", "rep", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     cells = placed.select("region", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rep", "root", "block").join(sets, "rep")
