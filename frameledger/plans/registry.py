@@ -1,4 +1,381 @@
 """Queries by name, and the DuckDB SQL that gives the same rows."""
 
+from __future__ import annotations
+
+import struct
+import zlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from frameledger.functions import canonical, codec, columns, container, png
+from frameledger.operators import catalog, judgments, packing, pruning
+
+from . import analogs as A
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+LIST = ["seq", "image_id", "run", "stream", "frame_no", "width"]
+ROW = ", ".join(LIST)
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = A.sql(sql)
+        return f
+
+    return keep
+
+
+# pages and lookups
+
+
+@query(f"select {ROW} from images order by seq desc limit 21")
+def list_all(spark, d) -> DataFrame:
+    return catalog.page(A.images(spark, d).select(*LIST), 20)
+
+
+@query(f"select {ROW} from images where run='u1' order by seq desc limit 21")
+def list_run(spark, d) -> DataFrame:
+    return catalog.page(A.images(spark, d).select(*LIST), 20, where={"run": "u1"})
+
+
+@query(f"select {ROW} from images where seq<=900 and seq<450 order by seq desc limit 21")
+def list_page2_snapshot(spark, d) -> DataFrame:
+    return catalog.page(A.images(spark, d).select(*LIST), 20, last=450, high=900)
+
+
+@query("select cast(coalesce(max(seq),0) as bigint) as high from images")
+def high_water(spark, d) -> DataFrame:
+    return catalog.high_water(A.images(spark, d))
+
+
+@query("select p.seq, p.image_id, a.representation_kind, cast(case when a.representation_kind='png' then o.byte_length else m.segment_bytes end as bigint) as stored_bytes from (select * from images order by seq desc limit 21) p join active a using (image_id) left join objects o on o.sha256=a.png_sha left join members m on m.image_id=p.image_id")
+def list_stored_bytes(spark, d) -> DataFrame:
+    return info_of(spark, d, catalog.page(A.images(spark, d), 20)).select("seq", "image_id", "representation_kind", "stored_bytes")
+
+
+def info_of(spark, d, images: DataFrame) -> DataFrame:
+    rows = A.grouped(spark, d)
+    members = packing.members(rows, packing.plan(rows))
+    segments = members.groupBy("segment_id").agg(F.max("frame_count").alias("frame_count"), F.max("segment_bytes").alias("segment_bytes"))
+    return catalog.info(images, packing.active(A.log(spark, d)), A.objects(spark, d), members.select("image_id", "segment_id", "frame_index"), segments)
+
+
+@query("select i.seq, i.image_id, i.run, i.stream, i.frame_no, a.representation_kind, a.representation_version, a.segment_id, m.frame_index, cast(case when a.representation_kind='png' then o.byte_length else m.segment_bytes end as bigint) as stored_bytes, cast(case when a.representation_kind='png' then 1 else m.frame_count end as bigint) as shared_image_count from images i join active a using (image_id) left join objects o on o.sha256=a.png_sha left join members m on m.image_id=i.image_id")
+def info_record(spark, d) -> DataFrame:
+    return info_of(spark, d, A.images(spark, d))
+
+
+@query("select seq, image_id, running_bytes from (select seq, image_id, cast(sum(length(image_id)*20) over (order by seq desc) as bigint) as running_bytes from (select * from images order by seq desc limit 101) p) q where running_bytes <= 16320")
+def page_byte_budget(spark, d) -> DataFrame:
+    return catalog.byte_budget(catalog.page(A.images(spark, d), 100), F.octet_length("image_id") * 20).select("seq", "image_id", "running_bytes")
+
+
+@query(f"select {ROW} from images where run='u1' and stream='click' and frame_no=2")
+def get_frame(spark, d) -> DataFrame:
+    return catalog.frame(A.images(spark, d).select(*LIST), "u1", "click", 2)
+
+
+@query("select i.seq, i.image_id, i.run, i.stream, i.frame_no, p.image_id as previous_image_id, p.pixel_sha256 = i.pixel_sha256 as same_pixels from images i left join images p on p.run=i.run and p.stream=i.stream and p.frame_no=i.frame_no-1")
+def features_previous(spark, d) -> DataFrame:
+    return catalog.previous_frame(A.images(spark, d))
+
+
+# ingest
+
+
+def operations(spark, d) -> DataFrame:
+    return A.images(spark, d).select("image_id", F.concat(F.lit("op-"), (F.col("seq") % 1000).cast("string")).alias("operation_id"), (F.col("seq") % 1500).cast("string").alias("fingerprint"), "seq")
+
+
+@query("select b.seq, b.operation_id, e.image_id as known_image_id, case when e.fp is null then 'insert' when e.fp = cast(b.seq%1500 as varchar) then 'reuse' else 'conflict' end as outcome from (select seq, 'op-'||(seq%1000) as operation_id from images) b left join (select 'op-'||(seq%1000) as operation_id, cast(seq%1500 as varchar) as fp, image_id from images where seq<=500) e using (operation_id)")
+def op_retry_conflict(spark, d) -> DataFrame:
+    rows = operations(spark, d)
+    return catalog.retries(rows, rows.where("seq <= 500").select("image_id", "operation_id", "fingerprint")).select("seq", "operation_id", "known_image_id", "outcome")
+
+
+@query("select i.seq, i.run, i.stream, case when i.run is not null then cast(row_number() over (partition by run,stream order by seq)-1 as bigint) + coalesce((select max(e.frame_no)+1 from images e where e.seq<=500 and e.run=i.run and e.stream=i.stream),0) end as new_frame_no from images i where i.seq>500")
+def frame_alloc(spark, d) -> DataFrame:
+    rows = A.images(spark, d)
+    return catalog.allocate_frames(rows.where("seq > 500").drop("frame_no"), rows.where("seq <= 500")).select("seq", "run", "stream", "new_frame_no")
+
+
+@query("select seq, run, case when run is not null then 'default' end as stream, case when run is not null then cast(row_number() over (partition by run order by seq)-1 as bigint) end as frame_no from images")
+def v1_backfill(spark, d) -> DataFrame:
+    return catalog.backfill_frames(A.images(spark, d).select("seq", "run")).select("seq", "run", "stream", "frame_no")
+
+
+@query("select o_orderkey, nullif(case when o_orderkey%3=0 then '' else o_orderpriority end,'') as label, array_to_string(list_sort(list_distinct([o_orderstatus, o_orderpriority, o_orderstatus])),'|') as tags, case when strlen(repeat('界', cast(o_orderkey%60 as integer)))>128 then 'E_LIMIT_EXCEEDED' end as error from orders")
+def metadata_normalise(spark, d) -> DataFrame:
+    rows = A.table(spark, d, "orders").select(
+        "o_orderkey", F.expr("repeat('界', cast(o_orderkey % 60 as int))").alias("run"), F.lit(None).cast("string").alias("stream"), F.lit("").alias("note"),
+        F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("o_orderpriority")).alias("label"), F.array("o_orderstatus", "o_orderpriority", "o_orderstatus").alias("tags"),
+    )
+    return catalog.normalise_metadata(rows).select("o_orderkey", "label", F.array_join("tags", "|").alias("tags"), "error")
+
+
+@query("select sha256(text) as sha256, cast(max(strlen(text)) as bigint) as byte_length, cast(count(*) as bigint) as copies from documents group by 1")
+def dedupe_blobs(spark, d) -> DataFrame:
+    rows = A.table(spark, d, "documents").select(F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("byte_length"))
+    return rows.groupBy("sha256").agg(F.max("byte_length").alias("byte_length"), F.count(F.lit(1)).alias("copies"))
+
+
+@query("select distinct sha256(text) as sha256 from documents where sha256(text) not in (select sha256(text) from documents where doc_id%2=0)")
+def insert_absent(spark, d) -> DataFrame:
+    rows = A.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    return catalog.insert_absent(rows, rows.where("doc_id % 2 = 0").distinct()).select("sha256")
+
+
+@query("select image_id, 'objects/sha256/'||substr(pixel_sha256,1,2)||'/'||substr(pixel_sha256,3,2)||'/'||pixel_sha256||'.png' as path from images")
+def object_path(spark, d) -> DataFrame:
+    return A.images(spark, d).select("image_id", catalog.object_path(F.col("pixel_sha256"), "png").alias("path"))
+
+
+@query("""select o_orderkey, sha256('[2,"'||o_orderstatus||'",null,"'||o_orderpriority||'"]') as fingerprint from orders""")
+def fingerprint(spark, d) -> DataFrame:
+    return A.table(spark, d, "orders").select("o_orderkey", catalog.fingerprint(F.lit(2), F.col("o_orderstatus"), F.lit(None).cast("string"), F.col("o_orderpriority")).alias("fingerprint"))
+
+
+# judgments
+
+J = "seq, image_id, kind, producer, value_json, confidence"
+
+
+@query(f"select {J} from judgments where kind='toxic' and value_json='true' order by seq desc limit 21")
+def judg_by_kind_value(spark, d) -> DataFrame:
+    return judgments.search(A.judgments(spark, d), 20, kind="toxic", value=" true ")
+
+
+@query(f"select {J} from judgments where confidence<0.25 order by seq desc limit 21")
+def judg_conf_below(spark, d) -> DataFrame:
+    return judgments.search(A.judgments(spark, d), 20, confidence_below=0.25)
+
+
+@query(f"select {J} from judgments where producer='rule' and seq<=400 and seq<300 order by seq desc limit 21")
+def judg_producer_page(spark, d) -> DataFrame:
+    return judgments.search(A.judgments(spark, d), 20, producer="rule", last=300, high=400)
+
+
+@query(f"select {J} from (select *, row_number() over (partition by image_id, kind order by seq desc) as r from judgments) q where r=1")
+def judg_latest_per_image(spark, d) -> DataFrame:
+    return judgments.latest(A.judgments(spark, d))
+
+
+@query("""select event_id, '{"a":['||event_id||'.5,'||event_id||'],"b":"'||event_type||'"}' as value_json from events""")
+def canonical_json(spark, d) -> DataFrame:
+    raw = F.format_string('{ "b" : "%s", "a":[%d.50, %d] }', "event_type", "event_id", "event_id")
+    return A.table(spark, d, "events").select("event_id", canonical.canonical(raw).alias("value_json"))
+
+
+# packing
+
+P = "run, stream, isl, part"
+
+
+@query("select seq, run, stream, frame_no, png_sha, png_bytes from candidates where seq<=5000")
+def pack_candidates(spark, d) -> DataFrame:
+    return packing.candidates(A.images(spark, d), A.stored(spark, d).drop("png_bytes"), A.objects(spark, d), high=5000).select("seq", "run", "stream", "frame_no", "png_sha", "png_bytes")
+
+
+@query(f"select {P}, n, first_frame, last_frame from plan")
+def pack_groups(spark, d) -> DataFrame:
+    return packing.plan(A.grouped(spark, d)).select("run", "stream", "isl", "part", "n", "first_frame", "last_frame")
+
+
+@query(f"select {P} from plan where status='skipped'")
+def pack_skipped_singletons(spark, d) -> DataFrame:
+    return packing.plan(A.grouped(spark, d)).where("status = 'skipped'").select("run", "stream", "isl", "part")
+
+
+@query("select segment_id, png_distinct_bytes from plan")
+def pack_distinct_bytes(spark, d) -> DataFrame:
+    return packing.plan(A.grouped(spark, d)).select("segment_id", "png_distinct_bytes")
+
+
+@query("select segment_id, n, candidate_bytes, png_distinct_bytes, status, reason from plan")
+def pack_decision(spark, d) -> DataFrame:
+    return packing.plan(A.grouped(spark, d)).select("segment_id", "n", "candidate_bytes", "png_distinct_bytes", "status", "reason")
+
+
+@query("select cast(count(*) filter (status='packed') as bigint) as segments_packed, cast(coalesce(sum(n) filter (status='packed'),0) as bigint) as images_packed, cast(count(*) filter (status='not_beneficial') as bigint) as not_beneficial, cast(count(*) filter (status='skipped') as bigint) as skipped, cast(coalesce(sum(png_distinct_bytes) filter (status='packed'),0) as bigint) as png_bytes, cast(coalesce(sum(candidate_bytes) filter (status='packed'),0) as bigint) as segment_bytes from plan")
+def pack_report(spark, d) -> DataFrame:
+    return packing.report(packing.plan(A.grouped(spark, d)))
+
+
+def members_of(spark, d) -> DataFrame:
+    rows = A.grouped(spark, d)
+    return packing.members(rows, packing.plan(rows))
+
+
+@query("select segment_id, string_agg(image_id, ',' order by frame_index) as images from members group by 1")
+def segment_members(spark, d) -> DataFrame:
+    listed = F.array_sort(F.collect_list(F.struct("frame_index", "image_id")))  # 128 members at most
+    return members_of(spark, d).groupBy("segment_id").agg(F.array_join(F.transform(listed, lambda x: x["image_id"]), ",").alias("images"))
+
+
+@query("select segment_id from members group by 1 having count(distinct width)>1")
+def segment_homogeneity(spark, d) -> DataFrame:
+    return members_of(spark, d).groupBy("segment_id").agg(F.count_distinct("width").alias("widths")).where("widths > 1").select("segment_id")
+
+
+@query("select image_id, representation_version, representation_kind, png_sha, segment_id from active")
+def repr_active(spark, d) -> DataFrame:
+    return packing.active(A.log(spark, d))
+
+
+@query("select image_id, png_sha, representation_version, replacement_version, prune_state from retired")
+def repr_retired(spark, d) -> DataFrame:
+    return A.retired(spark, d).select("image_id", "png_sha", "representation_version", "replacement_version", "prune_state")
+
+
+@query("select segment_id, bool_or(seq%11=0) as moved from members group by 1")
+def pack_activation(spark, d) -> DataFrame:
+    log, rows = A.stored(spark, d).drop("png_bytes"), members_of(spark, d)
+    moved = log.join(rows.where("seq % 11 = 0").select("image_id"), "image_id", "left_semi").withColumn("representation_version", F.lit(2))
+    return packing.activation(rows.select("segment_id", "image_id", "representation_version", "png_sha"), log.unionByName(moved)).select("segment_id", "moved")
+
+
+# capacity, pruning, verification
+
+
+def refs(spark, d) -> DataFrame:
+    return pruning.live_refs((packing.active(A.log(spark, d)), "png_sha", "active"), (A.sources(spark, d), "source_sha", "source"))
+
+
+@query("select cast(coalesce(sum(byte_length),0) as bigint) as bytes, cast(count(*) as bigint) as objects from objects where sha256 in (select png_sha from active where png_sha is not null)")
+def cap_active(spark, d) -> DataFrame:
+    return pruning.capacity(A.objects(spark, d), refs(spark, d).where("role = 'active'"))
+
+
+@query("select cast(coalesce(sum(byte_length),0) as bigint) as bytes, cast(count(*) as bigint) as objects from objects where sha256 in (select png_sha from sources)")
+def cap_source(spark, d) -> DataFrame:
+    return pruning.capacity(A.objects(spark, d), refs(spark, d).where("role = 'source'"))
+
+
+def prunable(spark, d) -> DataFrame:
+    return pruning.candidates(A.retired(spark, d), A.objects(spark, d), refs(spark, d))
+
+
+@query("select sha256, byte_length from prunable")
+def prune_candidates(spark, d) -> DataFrame:
+    return prunable(spark, d)
+
+
+@query("select sha256, total, covered from coverage")
+def prune_coverage(spark, d) -> DataFrame:
+    return pruning.coverage(A.retired(spark, d), packing.active(A.log(spark, d)))
+
+
+@query("select cast(count(*) filter (total=covered) as bigint) as reclaimable_objects, cast(coalesce(sum(byte_length) filter (total=covered),0) as bigint) as reclaimable_bytes, cast(count(*) filter (total<>covered) as bigint) as held_objects, count(*) filter (total=covered)>10000 as over_limit from prunable join coverage using (sha256)")
+def prune_report(spark, d) -> DataFrame:
+    return pruning.report(prunable(spark, d), pruning.coverage(A.retired(spark, d), packing.active(A.log(spark, d))), 10_000)
+
+
+@query("select sha256 from objects where sha256 not in (select sha256 from live)")
+def unreferenced_objects(spark, d) -> DataFrame:
+    return pruning.unreferenced(A.objects(spark, d).select("sha256"), refs(spark, d))
+
+
+@query("select sha256 from objects where sha256 in (select sha256 from live)")
+def expected_present(spark, d) -> DataFrame:
+    return A.objects(spark, d).select("sha256").join(refs(spark, d), "sha256", "left_semi")
+
+
+@query("select cast(null as varchar) as code, cast(null as varchar) as key where false")
+def verify_constraints(spark, d) -> DataFrame:
+    rows = members_of(spark, d)
+    return pruning.constraint_issues(A.images(spark, d), packing.active(A.log(spark, d)), rows.select("image_id", "frame_index", "frame_count"))
+
+
+@query("select sha256(text) as sha256, case when max(doc_id)%10=0 then 'missing' when max(doc_id)%10=1 then 'length' else 'hash' end as issue from documents group by 1 having max(doc_id)%10<3")
+def verify_blob_hash(spark, d) -> DataFrame:
+    rows = A.table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("sha256")).agg(F.max("doc_id").alias("id"), F.max("text").alias("text"))
+    objects = rows.select("sha256", F.octet_length("text").cast("long").alias("byte_length"))
+    broken = F.when(F.col("id") % 10 == 1, F.concat("text", F.lit("x"))).when(F.col("id") % 10 == 2, F.concat(F.expr("left(text, char_length(text) - 1)"), F.lit("\x01"))).otherwise(F.col("text"))
+    # the last character of a text of this kind is one byte
+    present = rows.where("id % 10 <> 0").select("sha256", broken.cast("binary").alias("content"))
+    return pruning.blob_issues(objects, present)
+
+
+# bytes
+
+
+def pictures(spark, d) -> DataFrame:
+    """Vectors as 8 x 8 frames of one byte a sample, in RGB: a PNG for each, whose rows use all five filters."""
+    rows = A.table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("key"), "label", "vec_id", F.transform("embedding", lambda x: F.least(F.greatest(F.floor((x + 1) * 127.5), F.lit(0)), F.lit(255)).cast("int")).alias("gray"))
+
+    def draw(row: dict) -> dict:
+        gray = np.array(row["gray"], np.uint8).reshape(8, 8)
+        samples = np.stack([gray, gray + np.uint8(5), gray + np.uint8(11)], axis=2)
+        lines = png.refilter(samples.reshape(8, 24), bytes([0, 1, 2, 3, 4, 4, 3, 2]), 3)
+        body = png.chunk(b"IHDR", struct.pack(">IIBBBBB", 8, 8, 8, 2, 0, 0, 0)) + png.chunk(b"IDAT", zlib.compress(lines, 0)) + png.chunk(b"IEND", b"")
+        return {"key": row["key"], "label": row["label"], "vec_id": row["vec_id"], "content": png.SIGNATURE + body, "samples": samples.tobytes()}
+
+    return columns.per_row(rows, "key string, label int, vec_id long, content binary, samples binary", draw)
+
+
+@query()
+def png_meta(spark, d) -> DataFrame:
+    return columns.png_meta(pictures(spark, d))
+
+
+@query()
+def png_repack(spark, d) -> DataFrame:
+    return columns.png_repack(pictures(spark, d)).select("key", "error", "compression_applied", "width", "height", "scanline_sha256", "pixel_sha256")
+
+
+@query("select cast(vec_id as varchar) as key, cast(null as varchar) as error, true as same from embeddings")
+def pngr_roundtrip(spark, d) -> DataFrame:
+    return columns.png_roundtrip(pictures(spark, d)).select("key", "error", "same")
+
+
+def text_frames(spark, d) -> DataFrame:
+    """Turns of a conversation as one-row frames of equal width."""
+    rows = A.table(spark, d, "conversations").select("conv_id", "turn", F.col("text").cast("binary").alias("samples"))
+    width = F.max(F.octet_length("samples")).over(Window.partitionBy("conv_id"))
+    rows = rows.withColumn("width", (F.ceil(width / 3)).cast("int")).withColumn("place", (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).cast("long"))
+    padded = F.expr("cast(rpad(hex(samples), width * 6, '00') as string)")
+    return rows.select(F.concat_ws("-", F.lit("c"), F.col("conv_id").cast("string")).alias("segment_id"), F.col("place").alias("frame_no"), "width", F.lit(1).alias("height"), F.lit(3).alias("channels"), F.unhex(padded).alias("samples"), F.col("samples").alias("text"), F.count(F.lit(1)).over(Window.partitionBy("conv_id")).alias("n"))
+
+
+@query("select 'c-'||conv_id as segment_id, cast(row_number() over (partition by conv_id order by turn)-1 as integer) as frame_index, sha256(text) as text_sha256 from conversations qualify count(*) over (partition by conv_id) between 2 and 128")
+def codec_roundtrip(spark, d) -> DataFrame:
+    frames = text_frames(spark, d).where("n between 2 and 128")
+    out = columns.decode_segments(columns.encode_segments(frames)).join(frames.select("segment_id", F.col("frame_no").cast("int").alias("frame_index"), F.octet_length("text").alias("size")), ["segment_id", "frame_index"])
+    return out.select("segment_id", "frame_index", F.sha2(F.expr("substring(samples, 1, size)"), 256).alias("text_sha256"))
+
+
+@query("select cast(doc_id as varchar) as key, sha256(text) as sha from documents")
+def container_roundtrip(spark, d) -> DataFrame:
+    def both(row: dict) -> dict:
+        packets = [container.Packet(row["content"][:9], 0, 1, True), container.Packet(row["content"][9:], 1)]
+        data = b"".join(p.data for p in container.decode(container.encode(1, 1, 2, packets))[3])
+        return {"key": row["key"], "content": data}
+
+    rows = A.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("key"), F.col("text").cast("binary").alias("content"))
+    return columns.per_row(rows, "key string, content binary", both).select("key", F.sha2("content", 256).alias("sha"))
+
+
+@query()
+def segment_id(spark, d) -> DataFrame:
+    def digest(group: pa.Table) -> pa.Table:
+        rows = sorted(group.to_pylist(), key=lambda r: r["frame_index"])
+        value = container.segment_id(codec.NAME.encode(), rows[0]["png_sha"], None, [r["image_id"] for r in rows])
+        return pa.table({"segment": [rows[0]["segment_id"]], "segment_sha": [value]})
+
+    return members_of(spark, d).select("segment_id", "frame_index", "image_id", "png_sha").groupBy("segment_id").applyInArrow(digest, "segment string, segment_sha string")
+
+
+@query()
+def crc32(spark, d) -> DataFrame:
+    return A.table(spark, d, "pages").select("page_id", F.crc32(F.col("html").cast("binary")).alias("crc"))
+
+
+@query("select event_type, list_sort(list(value))[cast(ceil(count(*)*50/100.0) as integer)] as p50, list_sort(list(value))[cast(ceil(count(*)*95/100.0) as integer)] as p95 from events group by 1")
+def latency_percentiles(spark, d) -> DataFrame:
+    return A.table(spark, d, "events").groupBy("event_type").agg(F.expr("percentile_disc(0.5) within group (order by value)").alias("p50"), F.expr("percentile_disc(0.95) within group (order by value)").alias("p95"))
