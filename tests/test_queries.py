@@ -41,8 +41,8 @@ def plan(df):
 def test_groups_use_one_exchange(spark):
     from frameledger.operators.packing import groups
 
-    rows = spark.range(100).selectExpr("'r' as run", "'s' as stream", "id as frame_no", "id % 2 as width")
-    assert plan(groups(rows, 8)).count("Exchange hashpartitioning") == 1
+    rows = spark.range(100).selectExpr("cast(id % 3 as string) as run", "cast(id % 5 as string) as stream", "id as frame_no", "id % 2 as width")
+    assert plan(groups(rows, 8)).count("Exchange ") == 1
 
 
 def test_page_is_a_top_n_with_pushed_filters(spark, tmp_path):
