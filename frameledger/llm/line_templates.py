@@ -1,21 +1,24 @@
 """Line deduplication with a log-template tree, in DataFrame functions alone.
 
 A line is parsed to a fixed depth: by its number of tokens, then by its leading tokens, then to its
-template, in which variable fields are generalised: tokens with a digit, addresses, links and quoted
-strings. Counted over documents, a template recurs if enough documents have it and it stands between
-different neighbours in them; a line that only recurs because whole documents were copied always has
+template, in which variable fields are generalised: tokens with a digit, addresses and links. Counted
+over documents, a template recurs if enough documents have it and it stands between different
+neighbours in them; a line that only recurs because whole documents were copied always has
 the same neighbours and is left to the deduplication of documents.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Variable fields, fixed patterns, and what stands for them.
-FIELDS = r'\S*[0-9@]\S*|https?:\S+|"[^"\n]{1,80}"'
+#: Variable fields, a fixed pattern: tokens with a digit or an at sign, and links. Tokens are tried at their start alone.
+FIELDS = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*|https?:\S+"
+VARIES = r"[0-9@]|https?:"
 FIELD = "<*>"
 #: Leading tokens that are levels of the tree.
 DEPTH = 3
@@ -24,26 +27,37 @@ LEAST_DOCS, LEAST_CONTEXTS, LEAST_SHARE = 5, 3, 0.2
 LOWEST = -(2**63)
 
 
-def template(line: Column) -> Column:
-    """A line's template: blanks are single, variable fields generalised."""
-    return F.regexp_replace(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")), FIELDS, FIELD)
+def single_blanks(line: Column) -> Column:
+    uneven = reduce(lambda a, b: a | b, [F.contains(line, F.lit(x)) for x in ("  ", "\t", "\x0b", "\x0c", "\r")])
+    return F.trim(F.when(uneven, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line))
+
+
+def generalised(line: Column) -> Column:
+    """A line's template: variable fields stand for themselves no more. The pattern only runs where it can match."""
+    return F.when(line.rlike(VARIES), F.regexp_replace(line, FIELDS, FIELD)).otherwise(line)
+
+
+def path(form: Column) -> Column:
+    """Place of a template in the tree: token count, leading tokens and template, as two hashes; null for a line without tokens."""
+    tokens = F.octet_length(form) - F.octet_length(F.replace(form, F.lit(" "), F.lit(""))) + 1
+    leaf = [tokens, F.substring_index(form, " ", DEPTH), form]
+    return F.when(form != "", F.struct(F.xxhash64(*leaf).alias("one"), F.xxhash64(F.lit("second"), *leaf).alias("two")))
 
 
-def parsed(line: Column) -> Column:
-    """Path in the tree: token count, leading tokens and template, as two hashes; null for a line without tokens."""
-    form = template(line)
-    tokens = F.split(form, " ")
-    leaf = F.struct(F.size(tokens).alias("n"), F.slice(tokens, 1, DEPTH).alias("lead"), form.alias("form"))
-    both = F.struct(F.xxhash64(leaf).alias("one"), F.xxhash64(F.lit("second"), leaf).alias("two"))
-    return F.when(form != "", both)
+def paths(lines: Column) -> Column:
+    # one step after the other, as a function's argument would be worked out wherever it is named
+    return F.transform(F.transform(F.transform(lines, single_blanks), generalised), path)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """One row for each distinct template of a document: id, one, two, context. Only hashes leave the scan."""
-    paths = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST).cast("long")).alias("id"), F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), parsed).alias("paths"))
-    rows = paths.select("id", F.posexplode("paths").alias("at", "path"), "paths").where("path is not null")
-    context = F.xxhash64(F.get("paths", F.col("at") - 1)["one"], F.get("paths", F.col("at") + 1)["one"])
-    return rows.select("id", F.col("path.one").alias("one"), F.col("path.two").alias("two"), context.alias("context")).groupBy("id", "one", "two").agg(F.min("context").alias("context"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST).cast("long")).alias("id"), paths(F.split(F.coalesce("text", F.lit("")), "\n")).alias("paths"))
+    # each path beside those of its neighbours
+    none = F.array(F.lit(None).cast("struct<one:bigint,two:bigint>"))
+    before, after = F.concat(none, F.col("paths")), F.concat(F.slice("paths", 2, F.greatest(F.size("paths"), F.lit(1))), none)
+    beside = rows.select("id", F.explode(F.arrays_zip(F.col("paths").alias("path"), before.alias("before"), after.alias("after"))).alias("x")).where("x.path is not null")
+    context = F.xxhash64("x.before.one", "x.after.one")
+    return beside.select("id", F.col("x.path.one").alias("one"), F.col("x.path.two").alias("two"), context.alias("context")).groupBy("id", "one", "two").agg(F.min("context").alias("context"))
 
 
 def recurring(lines: DataFrame) -> DataFrame:
@@ -68,7 +82,8 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     drops = scratch.write(lines.join(found, ["one", "two"]).groupBy("id").agg(F.collect_list(F.struct("one", "two")).alias("__drop")).withColumnRenamed("id", "__id"), "drops")
     scratch.drop("lines", "recurring")
     split = F.split("text", "\n")
-    kept = F.filter(split, lambda line: parsed(line).isNull() | ~F.array_contains(F.col("__drop"), parsed(line)))
+    both = F.filter(F.arrays_zip(split.alias("line"), paths(split).alias("path")), lambda x: x["path"].isNull() | ~F.array_contains(F.col("__drop"), x["path"]))
+    kept = F.transform(both, lambda x: x["line"])
     touched = F.col("__drop").isNotNull() & F.col("text").isNotNull()
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     out = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST).cast("long")).alias("__id")).join(drops, "__id", "left")
@@ -83,7 +98,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 ORACLE = r"""
 with d as (select doc_id, text, string_split(text, chr(10)) as lines from documents),
 l as (select doc_id, text, unnest(lines) as line, generate_subscripts(lines, 1) as pos from d),
-t as (select *, regexp_replace(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), '\S*[0-9@]\S*|https?:\S+|"[^"\n]{1,80}"', '<*>', 'g') as form from l),
+t as (select *, regexp_replace(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), '\S*[0-9@]\S*|https?:\S+', '<*>', 'g') as form from l),
 c as (select *, lag(nullif(form, '')) over w as before, lead(nullif(form, '')) over w as after from t window w as (partition by doc_id order by pos)),
 f as (select form, count(distinct doc_id) as docs, count(distinct (before, after)) as contexts from c where form <> '' group by form
     having count(distinct doc_id) >= 5 and count(distinct (before, after)) >= 3 and count(distinct (before, after)) >= 0.2 * count(distinct doc_id))
