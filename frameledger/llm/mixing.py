@@ -33,19 +33,24 @@ class Targets:
         return getattr(self, name)
 
 
+def count(text: Column, character: str) -> Column:
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(character), F.lit("")))
+
+
 def words(text: Column) -> Column:
-    """Words of a text between single blanks; at least 1, so that no document is without weight."""
-    return F.greatest(F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+")), F.lit(1)).cast("long")
+    """Weight of a text: pieces between blanks and line feeds, 1 at least."""
+    text = F.coalesce(text, F.lit(""))
+    return (count(text, " ") + count(text, "\n") + 1).cast("long")
 
 
 def topic(text: Column, tokens: Column) -> Column:
     """One of TOPICS, from what the whole text shows."""
     text = F.coalesce(text, F.lit(""))
-    lines = F.char_length(text) - F.char_length(F.translate(text, "\n", "")) + 1
-    digits = F.char_length(text) - F.char_length(F.translate(text, "0123456789", ""))
+    lines = count(text, "\n") + 1
+    digits = F.regexp_count(text, F.lit("[0-9]"))
     return (
         F.when(F.contains(text, F.lit("icense")) & (tokens < 400), "licence")
-        .when(digits * 25 > F.char_length(text), "numbers")
+        .when(digits * 25 > F.octet_length(text), "numbers")
         .when(lines * 12 > tokens, "list")
         .when(tokens < 150, "note")
         .when(tokens > 800, "essay")
