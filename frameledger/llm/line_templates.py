@@ -78,7 +78,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "lines")
     lines = scratch.write(lines_of(docs), "lines")
     found = scratch.write(recurring(lines).select("one", "two"), "recurring")
-    # a document's list is no longer than its own distinct templates
+    # one plan at every size: the lists of small inputs aren't broadcast either; a document's list is no longer than its own distinct templates
     drops = scratch.write(lines.join(found, ["one", "two"]).groupBy("id").agg(F.collect_list(F.struct("one", "two")).alias("__drop")).withColumnRenamed("id", "__id"), "drops")
     scratch.drop("lines", "recurring")
     split = F.split("text", "\n")
@@ -86,7 +86,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     kept = F.transform(both, lambda x: x["line"])
     touched = F.col("__drop").isNotNull() & F.col("text").isNotNull()
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    out = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST).cast("long")).alias("__id")).join(drops, "__id", "left")
+    out = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST).cast("long")).alias("__id")).join(drops.hint("merge"), "__id", "left")
     out = out.select(*names, F.when(touched, kept).alias("__kept"), F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"))
     text = F.when(F.col("__kept").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n"))
     return out.select(
