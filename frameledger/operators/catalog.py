@@ -42,29 +42,34 @@ def frame(rows: DataFrame, run: str, stream: str, frame_no: int) -> DataFrame:
 
 
 def previous_frame(images: DataFrame) -> DataFrame:
-    """Each image beside the frame before it in its run and stream, if that number exists."""
+    """Each image beside the frame before it in its run and stream, if that number exists.
+
+    Images outside any run stay out of the window, where they would form one partition."""
     w = Window.partitionBy("run", "stream").orderBy("frame_no")
     before = F.lag(F.struct("frame_no", "image_id", "pixel_sha256")).over(w)
-    near = F.col("run").isNotNull() & (F.col("before.frame_no") == F.col("frame_no") - 1)
-    out = images.withColumn("before", before)
-    return out.select(
+    near = F.col("before.frame_no") == F.col("frame_no") - 1
+    out = images.where("run is not null").withColumn("before", before).select(
         "seq", "image_id", "run", "stream", "frame_no", F.when(near, F.col("before.image_id")).alias("previous_image_id"),
         F.when(near, F.col("before.pixel_sha256") == F.col("pixel_sha256")).alias("same_pixels"),
     )
+    alone = images.where("run is null").select("seq", "image_id", "run", "stream", "frame_no", F.lit(None).cast("string").alias("previous_image_id"), F.lit(None).cast("boolean").alias("same_pixels"))
+    return out.unionAll(alone)
 
 
 def allocate_frames(batch: DataFrame, existing: DataFrame, order: str = "seq") -> DataFrame:
     """Frame numbers of a batch: dense and zero-based in each run and stream, behind those that exist. No run, no number."""
     base = existing.where("run is not null").groupBy("run", "stream").agg((F.max("frame_no") + 1).alias("base"))
     place = F.row_number().over(Window.partitionBy("run", "stream").orderBy(order)).cast("long") - 1
-    numbered = batch.withColumn("place", place).join(base, ["run", "stream"], "left")
-    return numbered.withColumn("new_frame_no", F.when(F.col("run").isNotNull(), F.col("place") + F.coalesce("base", F.lit(0)))).drop("place", "base")
+    numbered = batch.where("run is not null").withColumn("place", place).join(base, ["run", "stream"], "left")
+    numbered = numbered.withColumn("new_frame_no", F.col("place") + F.coalesce("base", F.lit(0))).drop("place", "base")
+    return numbered.unionByName(batch.where("run is null").withColumn("new_frame_no", F.lit(None).cast("long")))
 
 
 def backfill_frames(images: DataFrame) -> DataFrame:
     """Frame numbers for images of the first schema, which knows runs but no streams."""
     place = F.row_number().over(Window.partitionBy("run").orderBy("seq")).cast("long") - 1
-    return images.withColumn("stream", F.when(F.col("run").isNotNull(), "default")).withColumn("frame_no", F.when(F.col("run").isNotNull(), place))
+    inside = images.where("run is not null").withColumn("stream", F.lit("default")).withColumn("frame_no", place)
+    return inside.unionByName(images.where("run is null").withColumn("stream", F.lit(None).cast("string")).withColumn("frame_no", F.lit(None).cast("long")))
 
 
 def retries(batch: DataFrame, existing: DataFrame) -> DataFrame:

@@ -86,3 +86,10 @@ def activation(expected: DataFrame, log: DataFrame) -> DataFrame:
     now = active(log).select("image_id", F.col("representation_version").alias("now_version"), F.col("representation_kind").alias("now_kind"), F.col("png_sha").alias("now_sha"))
     moved = ~((F.col("now_version") == F.col("representation_version")) & (F.col("now_kind") == "png") & (F.col("now_sha") == F.col("png_sha")))
     return expected.join(now, "image_id", "left").groupBy("segment_id").agg(F.coalesce(F.bool_or(F.coalesce(moved, F.lit(True))), F.lit(False)).alias("moved")).withColumn("reason", F.when(F.col("moved"), "concurrent_representation_change"))
+
+
+def decode_memory(width, height, alpha, container_bytes, descriptor_bytes):
+    """Bytes that decoding a frame may take: three planes and twelve surfaces of a stream, four copies of the samples, two of the stored bytes, and 32 MiB."""
+    pixels = width.cast("long") * height.cast("long")
+    streams, channels = F.when(alpha, 2).otherwise(1), F.when(alpha, 4).otherwise(3)
+    return pixels * streams * 36 + pixels * channels * 4 + container_bytes * 2 + descriptor_bytes * 2 + (32 << 20)
