@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameledger.functions import canonical, codec, columns, container, png
+from frameledger.functions import canonical, codec, columns, container, png, tokens
 from frameledger.operators import catalog, judgments, packing, pruning
 
 from . import analogs as A
@@ -379,3 +379,19 @@ def crc32(spark, d) -> DataFrame:
 @query("select event_type, list_sort(list(value))[cast(ceil(count(*)*50/100.0) as integer)] as p50, list_sort(list(value))[cast(ceil(count(*)*95/100.0) as integer)] as p95 from events group by 1")
 def latency_percentiles(spark, d) -> DataFrame:
     return A.table(spark, d, "events").groupBy("event_type").agg(F.expr("percentile_disc(0.5) within group (order by value)").alias("p50"), F.expr("percentile_disc(0.95) within group (order by value)").alias("p95"))
+
+
+@query("select image_id, 'frame://store/images/'||image_id as reference from images")
+def references(spark, d) -> DataFrame:
+    return A.images(spark, d).select("image_id", tokens.reference("store", F.col("image_id")).alias("reference"))
+
+
+@query("select event_id, strftime(ts - interval 9 hour, '%Y-%m-%dT%H:%M:%S.%f')||'000Z' as captured_at from events")
+def captured_utc(spark, d) -> DataFrame:
+    local = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+09:00'")
+    return A.table(spark, d, "events").select("event_id", tokens.utc(local).alias("captured_at"))
+
+
+@query("select seq, cast(width*(case when seq%2=0 then 72+16 else 36+12 end) + 2*(seq%1000) + 2*seq + 33554432 as bigint) as bytes from images")
+def decode_memory(spark, d) -> DataFrame:
+    return A.images(spark, d).select("seq", packing.decode_memory(F.col("width"), F.lit(1), F.col("seq") % 2 == 0, F.col("seq") % 1000, F.col("seq")).alias("bytes"))
