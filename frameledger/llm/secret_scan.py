@@ -21,12 +21,16 @@ HEX = r"[0-9a-f]{32,}"
 ASSIGN_LEAST = 8
 
 #: Entropy. Windows of 20 characters; bits per character from which a window is random enough, by the
-#: class of the whole candidate; candidates that match the allow-list (dates, paths, repeated words,
-#: well-known hosts, UUIDs, plain letters) are never reported.
+#: class of the whole candidate or of the window alone. The allow-list (dates, paths, repeated words, well-known
+#: hosts, UUIDs, plain letters) holds for a whole candidate; within one, for its pieces and runs of one character.
 WINDOW = 20
 CLASSES = {"mixed": (r"(?=.*[A-Z])(?=.*[a-z])(?=.*[0-9])[A-Za-z0-9+/_=-]+", 3.9), "lower": (r"(?=.*[a-z])(?=.*[g-z])(?=.*[0-9])[a-z0-9_=-]+", 3.7), "upper": (r"(?=.*[A-Z])(?=.*[0-9])[A-Z0-9_=-]+", 3.7), "hexadecimal": (r"(?=.*[0-9])(?=.*[a-f])[0-9a-f]+|(?=.*[0-9])(?=.*[A-F])[0-9A-F]+", 3.0)}
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ALLOWED = r"^(?:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|[A-Za-z]+|[0-9_=+/-]+|/?(?:[a-z0-9_-]{1,12}/)+[a-z0-9_-]{1,12})$|(?i:example|lorem|sample|placeholder|changeme)|(.)\1{5}"
+#: Where a candidate falls into pieces, the words and forms of the allow-list that a piece may have, and runs of one character.
+PIECES = r"(?<=[/=])|(?<=[_-]{2})"
+ALLOWED_PIECE = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}[/=_-]*$|(?i:example|lorem|sample|placeholder|changeme)"
+RUN = r"(.)\1{5}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 
@@ -70,11 +74,49 @@ def entropy(candidate: Column, window: int = WINDOW) -> Column:
     return F.lit(math.log2(window)) - F.aggregate(steps, begin, step, lambda acc: acc["least"]) / window
 
 
+def random_window(candidate: Column, window: int = WINDOW) -> Column:
+    """Whether any window is random enough for the class of its own characters. What the allow-list covers is blank and in no class."""
+    blank = F.transform(F.split(candidate, PIECES), lambda x: F.when(x.rlike(ALLOWED_PIECE), F.repeat(F.lit(" "), F.char_length(x))).otherwise(x))
+    codes = F.transform(F.split(F.regexp_replace(F.array_join(blank, ""), RUN, " " * 6), ""), lambda c: F.instr(F.lit(ALPHABET + " "), c) - 1)
+    # kinds of character: A-F, G-Z, a-f, g-z, digits, + and /, _ and = and -, blank
+    kinds = F.array(*map(F.lit, [0] * 6 + [1] * 20 + [2] * 6 + [3] * 20 + [4] * 10 + [5] * 2 + [6] * 3 + [7]))
+    term = F.array(*[F.lit(0.0)] * 2, *[F.log2(F.lit(float(c))) * c for c in range(2, window + 2)])
+    begin = F.struct(F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("count"), F.array_repeat(F.lit(0), 8).alias("kind"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(False).alias("found"))
+
+    def bits(kind: Column) -> Column:
+        has = [F.get(kind, F.lit(k)) > 0 for k in range(8)]
+        upper, lower = has[0] | has[1], has[2] | has[3]
+        mixed, low, high, hexadecimal = (c[1] for c in CLASSES.values())
+        own = F.when(upper & lower, mixed).when(~has[5] & ~upper & has[3], low).when(~has[5] & ~lower & upper, high).when(~has[5] & ~has[6] & ~upper & lower, hexadecimal)
+        return F.when(has[4] & ~has[7], own)
+
+    def moved(array: Column, enters: Column, leaves: Column) -> Column:
+        return F.transform(array, lambda c, i: c + F.when(i == enters, 1).otherwise(0) - F.when(i == leaves, 1).otherwise(0))
+
+    def step(acc: Column, x: Column) -> Column:
+        enters, leaves = x["enters"], x["leaves"]
+        one = F.when(leaves.isNull(), acc["sum"]).otherwise(acc["sum"] - F.get(term, F.get(acc["count"], leaves)) + F.get(term, F.get(acc["count"], leaves) - 1))
+        had = F.get(acc["count"], enters) - F.when(leaves == enters, 1).otherwise(0)
+        total = one - F.get(term, had) + F.get(term, had + 1)
+        return F.struct(moved(acc["count"], enters, leaves).alias("count"), moved(acc["kind"], F.get(kinds, enters), F.get(kinds, leaves)).alias("kind"), total.alias("sum"), (acc["n"] + 1).alias("n"), acc["found"].alias("found"))
+
+    def judged(acc: Column, x: Column) -> Column:
+        # the test of a window is made when the next character comes, so the counts of a step are worked out once
+        enough = F.coalesce((acc["n"] >= window) & (F.lit(math.log2(window)) - acc["sum"] / window >= bits(acc["kind"]) - 1e-9), F.lit(False))
+        return step(acc, x).withField("found", acc["found"] | enough)
+
+    ahead = F.concat(F.array_repeat(F.lit(None).cast("int"), window), codes)
+    # a blank behind the end has the last window judged
+    steps = F.arrays_zip(F.concat(codes, F.array(F.lit(len(ALPHABET)))).alias("enters"), F.slice(ahead, 1, F.size(codes) + 1).alias("leaves"))
+    return F.aggregate(steps, begin, judged, lambda acc: acc["found"])
+
+
 def random_looking(candidate: Column) -> Column:
     least = F.lit(None).cast("double")
     for pattern, bits in reversed(CLASSES.values()):
         least = F.when(candidate.rlike(f"^(?:{pattern})$"), F.lit(bits)).otherwise(least)
-    return least.isNotNull() & ~candidate.rlike(ALLOWED) & (entropy(candidate) >= least)
+    whole = least.isNotNull() & ~candidate.rlike(ALLOWED) & (entropy(candidate) >= least)
+    return F.coalesce(whole, F.lit(False)) | random_window(candidate)
 
 
 def secret_spans(docs: DataFrame) -> DataFrame:

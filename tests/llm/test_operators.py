@@ -94,6 +94,18 @@ def test_secrets(spark, empty):
     assert secret_scan.secret_spans(empty).count() == 0
 
 
+def test_secrets_beside_other_strings(spark):
+    """A random string is found wherever it stands in a run of base64 characters; what the allow-list covers isn't."""
+    own = random.Random(3)
+    low, hexa, key = ("".join(own.choices(x, k=n)) for x, n in (("abcdefghijklmnopqrstuvwxyz0123456789", 24), ("0123456789abcdef", 24), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 40)))
+    long = "".join(own.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=600))
+    found = [low, f"/services/{low}", f"/a/{low}/b", hexa, f"commit={hexa}", f"sig={hexa}a0f3b1c", key, f"/samples/{key}", f"======{key}", f"{key}======", f"{long}AAAAAAAA{long}"]
+    missed = [f"example-Q7x{low}", "550e8400-e29b-41d4-a716-446655440000", "id=550e8400-e29b-41d4-a716-446655440000", "src/main/java/org/project/files", "=" * 60, "abcdefghij" * 5, "2024/01/02/03/04/05/06/07", "a" * 19 + "/" + "b" * 19]
+    df = spark.createDataFrame(list(enumerate(f"see {x} here" for x in found + missed)), "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.entropy] for r in secret_scan.secret_spans(df).collect()}
+    assert [got[i] for i in range(len(found) + len(missed))] == [[(4, 4 + len(x))] for x in found] + [[] for _ in missed]
+
+
 def test_entropy_is_that_of_every_window(spark):
     import math
 
