@@ -8,6 +8,7 @@ that the present network finds most toxic in each text stand for it.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -22,7 +23,9 @@ from pyspark.sql.functions import arrow_udf
 LENGTH, STRIDE = 32, 24
 WORDS, GRAMS, DIM, STATE = 1 << 13, 1 << 13, 8, 8
 #: Bytes of a word, marked ends included, whose character 4-grams are read; the word itself is hashed whole.
+#: Longer words are read in parts: between joining characters, then in pieces that share GRAM - 1 characters.
 BYTES, GRAM = 24, 4
+JOINED = re.compile("([!-/:-@\\[-`{-~\u200b-\u200d\u2060\ufeff]+)")
 #: Documents of each class at most that the network is fitted on; the choice is by a hash of doc_id.
 MOST_TRAINING = 900
 THRESHOLD = 0.7
@@ -45,6 +48,20 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return bucket, grams
 
 
+def too_long(word: str) -> bool:
+    return len(word) * 4 > BYTES - 2 and len(word.strip(EDGE).encode()) > BYTES - 2
+
+
+def parts(word: str) -> list[str]:
+    """A word that is too long as words that aren't, in which all its bytes and 4-grams lie."""
+    out = []
+    for run in filter(None, JOINED.split(word)):
+        size = BYTES - 2 if run.isascii() else (BYTES - 2) // 4
+        step = size - GRAM + 1
+        out += [run[i : i + size] for i in range(0, max(1, len(run) - GRAM + 1), step)] if too_long(run) else [run]
+    return out
+
+
 class Vocabulary:
     """Distinct words and their features, in the order met."""
 
@@ -55,6 +72,8 @@ class Vocabulary:
 
     def codes(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.lower().split() for t in texts]
+        if long := {w: parts(w) for w in set().union(*split) - self.code.keys() if too_long(w)}:
+            split = [words if long.keys().isdisjoint(words) else [p for w in words for p in long.get(w, (w,))] for words in split]
         if new := list(set().union(*split) - self.code.keys()):
             self.code.update(zip(new, range(len(self.code), len(self.code) + len(new)), strict=True))
             bucket, grams = features(new)

@@ -202,6 +202,30 @@ def test_toxicity(spark, empty):
     assert toxicity.toxicity(empty, labels).count() == 0 and toxicity.toxicity(df, labels.limit(0)).count() == 602
 
 
+def test_toxicity_reads_long_words_whole():
+    """Texts of one long word, joined or without blanks, are scored by all of it."""
+    own = random.Random(4)
+    plain, bad = [f"word{i}" for i in range(200)], ["vile", "rotten", "nasty"]
+    texts = [own.choices(plain, k=own.randint(5, 90)) for _ in range(400)]
+    for t in texts[::4]:
+        for _ in range(2 + len(t) // 20):
+            t[own.randrange(len(t))] = own.choice(bad)
+    scorer = toxicity.Scorer(toxicity.train([" ".join(t) for t in texts], [int(i % 4 == 0) for i in range(400)], 0.25))
+    clean, toxic = own.choices(plain, k=400), own.choices(plain, k=400)
+    toxic[300:303] = bad
+    for joint in "_,./\u200b":
+        low, high = scorer.score([joint.join(clean), joint.join(toxic)])
+        assert low < toxicity.THRESHOLD <= high, joint
+    base = [chr(c) for c in range(0x4E00, 0x4E00 + 400)]
+    words = ["".join(own.choices(base, k=120)) for _ in range(400)]
+    texts = [w[:60] + "坏话脏字毒" * 2 + w[60:] if i % 4 == 0 else w for i, w in enumerate(words)]
+    scorer = toxicity.Scorer(toxicity.train(texts[:300], [int(i % 4 == 0) for i in range(300)], 0.25))
+    assert np.mean((scorer.score(texts[300:]) >= toxicity.THRESHOLD) == (np.arange(300, 400) % 4 == 0)) > 0.9
+    long = "界é😀ab_c" * 40
+    pieces = toxicity.parts(long)
+    assert set(long) == set("".join(pieces)) and not any(map(toxicity.too_long, pieces)) and toxicity.parts("short") == ["short"]
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     s, d = toxicity.STATE, toxicity.DIM
