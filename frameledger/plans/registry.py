@@ -182,6 +182,13 @@ def pack_candidates(spark, d) -> DataFrame:
     return packing.candidates(A.images(spark, d), A.stored(spark, d).drop("png_bytes"), A.objects(spark, d), high=5000).select("seq", "run", "stream", "frame_no", "png_sha", "png_bytes")
 
 
+@query("select seq, run, stream, frame_no, png_sha, png_bytes from candidates where seq<=(select coalesce(max(seq),0) from images)")
+def pack_candidates_all(spark, d) -> DataFrame:
+    """All candidates: the bound is the highest seq, frozen as a pack does."""
+    rows = A.images(spark, d)
+    return packing.candidates(rows, A.stored(spark, d).drop("png_bytes"), A.objects(spark, d), high=catalog.high_water(rows).first()["high"]).select("seq", "run", "stream", "frame_no", "png_sha", "png_bytes")
+
+
 @query(f"select {P}, n, first_frame, last_frame from plan")
 def pack_groups(spark, d) -> DataFrame:
     return packing.plan(A.grouped(spark, d)).select("run", "stream", "isl", "part", "n", "first_frame", "last_frame")

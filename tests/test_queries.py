@@ -34,6 +34,14 @@ def test_runs(spark, name):
     assert registry.QUERIES[name](spark, DATA).count() > 0
 
 
+def test_candidates_beyond_5000(spark):
+    con, d = duckdb.connect(), "/root/testdata/sf0.01"
+    con.execute(f"create view events as select * from '{d}/events.parquet'")
+    got = frame(registry.QUERIES["pack_candidates_all"](spark, d).toArrow())
+    assert got["seq"].astype(int).max() > 5000
+    pd.testing.assert_frame_equal(got, frame(con.sql(registry.ORACLES["pack_candidates_all"]).to_arrow_table()))
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
