@@ -357,6 +357,19 @@ def codec_roundtrip(spark, d) -> DataFrame:
     return out.select("segment_id", "frame_index", F.sha2(F.expr("substring(samples, 1, size)"), 256).alias("text_sha256"))
 
 
+@query("""with places as (select *, row_number() over (partition by conv_id order by turn)-1 as place from conversations), parts as (select *, count(*) over (partition by conv_id, place//128) as n from places)
+ select 'c-'||conv_id||'-'||(place//128) as segment_id, cast(place%128 as integer) as frame_index, sha256(text) as text_sha256, case when n<2 then 'skipped' else 'coded' end as status from parts""")
+def codec_roundtrip_all(spark, d) -> DataFrame:
+    """All turns: a conversation is cut into parts of 128 frames at most; the turn of a one-turn part is not coded and stays as it is."""
+    place = F.col("frame_no")
+    frames = text_frames(spark, d).withColumn("segment_id", F.concat_ws("-", "segment_id", F.floor(place / 128).cast("string"))).withColumn("frame_no", place % 128)
+    frames = frames.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("segment_id")))
+    coded = frames.where("n >= 2")
+    out = columns.decode_segments(columns.encode_segments(coded)).join(coded.select("segment_id", F.col("frame_no").cast("int").alias("frame_index"), F.octet_length("text").alias("size")), ["segment_id", "frame_index"])
+    out = out.select("segment_id", "frame_index", F.sha2(F.expr("substring(samples, 1, size)"), 256).alias("text_sha256"), F.lit("coded").alias("status"))
+    return out.unionAll(frames.where("n < 2").select("segment_id", F.col("frame_no").cast("int"), F.sha2("text", 256), F.lit("skipped")))
+
+
 @query("select cast(doc_id as varchar) as key, sha256(text) as sha from documents")
 def container_roundtrip(spark, d) -> DataFrame:
     def both(row: dict) -> dict:

@@ -42,6 +42,16 @@ def test_candidates_beyond_5000(spark):
     pd.testing.assert_frame_equal(got, frame(con.sql(registry.ORACLES["pack_candidates_all"]).to_arrow_table()))
 
 
+def test_conversations_of_any_length(spark, tmp_path):
+    rows = [(1, t, f"turn {t} é" * (t % 5)) for t in range(300)] + [(2, 0, "alone")] + [(3, t, "x") for t in range(129)] + [(4, 0, "a"), (4, 1, "b")]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    got = registry.QUERIES["codec_roundtrip_all"](spark, str(tmp_path)).toArrow()
+    assert got.num_rows == len(rows) and sorted(x.as_py() for x, y in zip(got["segment_id"], got["status"], strict=True) if y.as_py() == "skipped") == ["c-2-0", "c-3-1"]
+    pd.testing.assert_frame_equal(frame(got), frame(con.sql(registry.ORACLES["codec_roundtrip_all"]).to_arrow_table()))
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
