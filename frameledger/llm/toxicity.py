@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 #: Words in a window, step between windows, sizes of the hashed tables, of a vector and of the state.
-LENGTH, STRIDE = 32, 24
+LENGTH, STRIDE = 32, 16
 WORDS, GRAMS, DIM, STATE = 1 << 13, 1 << 13, 8, 8
 #: Bytes of a word, marked ends included, whose character 4-grams are read; the word itself is hashed whole.
 #: Longer words are read in parts: between joining characters, then in pieces that share GRAM - 1 characters.

@@ -226,6 +226,12 @@ def test_toxicity_reads_long_words_whole():
     assert set(long) == set("".join(pieces)) and not any(map(toxicity.too_long, pieces)) and toxicity.parts("short") == ["short"]
 
 
+def test_windows_overlap_by_half():
+    for n in (33, 50, 100, 321):
+        seen = [set(w.tolist()) for w in toxicity.windows(np.arange(n))[0]]
+        assert all(any(seen_one.issuperset(range(i, i + 17)) for seen_one in seen) for i in range(n - 16))
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     s, d = toxicity.STATE, toxicity.DIM
