@@ -1,7 +1,8 @@
-"""Line deduplication with a log-template tree, in DataFrame functions alone.
+"""Line deduplication by masked lines, in DataFrame functions alone.
 
-A line is parsed to a fixed depth: by its number of tokens, then by its leading tokens, then to its
-template, in which variable fields are generalised: tokens with a digit, addresses and links. Counted
+A line's template is the whole line with its variable fields masked by fixed patterns: tokens with a digit,
+addresses and links. Lines are of one template if their masked forms are equal; plain words that vary are not
+generalised. Token count and leading tokens go into the hash and follow from the form. Counted
 over documents, a template recurs if enough documents have it and it stands between different
 neighbours in them; a line that only recurs because whole documents were copied always has
 the same neighbours and is left to the deduplication of documents.
