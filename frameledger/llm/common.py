@@ -1,27 +1,40 @@
-"""What the operators of this package share: the shared folder and Arrow helpers."""
+"""What the operators of this package share: the shared folder, joins on uneven keys, Arrow helpers."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch on its way to Python, where the session leaves Spark's own bound.
+BATCH_BYTES = 4 << 20
+#: A key with fewer narrow rows than this fits a task. With more, and with a thousandth of all rows, it is split.
+HOT_ROWS, HOT_SHARE, SALTS = 1_000_000, 1000, 64
+#: Folders that this process has made and not yet deleted.
+MADE: list[str] = []
+
 
 class Scratch:
     """Parquet tables in the shared folder that the cluster names in spark.checkpoint.dir.
 
-    A written table cuts lineage and survives lost executors. Where the setting is absent, as in
-    tests, a folder under /tmp/checkpoints is set. ``drop`` deletes a table that no later step reads.
+    A written table cuts lineage and survives lost executors. Where the setting is absent and Spark runs
+    in one local process, as in tests, a folder under /tmp/checkpoints is set; on a cluster without it
+    ValueError is raised. ``drop`` deletes tables that no later step reads; ``sweep`` deletes the rest.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             base = "/tmp/checkpoints"
             spark.conf.set("spark.checkpoint.dir", base)
         self.spark = spark
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        MADE.append(self.root)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -29,10 +42,42 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            delete(self.spark, f"{self.root}/{name}")
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sweep(spark: SparkSession, besides: Iterable[str] = ()) -> None:
+    """Deletes the scratch folders of this process, when the results that read them have been written."""
+    for root in [r for r in MADE if r not in set(besides)]:
+        delete(spark, root)
+        MADE.remove(root)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of Arrow batches in this session, unless it has a bound of its own: whole texts are long."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name).rstrip("b") == str(64 << 20):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """big joined with small, which has one row for a key, on a key that may hold a large share of big.
+
+    Keys with more than a thousandth of big's rows, of which there are fewer than a thousand, are split over SALTS tasks.
+    """
+    n = big.count()
+    hot = [r[0] for r in big.groupBy(key).count().where(F.col("count") > max(HOT_ROWS, n // HOT_SHARE)).collect()] if n > HOT_ROWS else []
+    if not hot:
+        return big.join(small, key, how)
+    among = F.col(key).isin(hot)
+    dealt = big.withColumn("__salt", F.when(among, F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int")).otherwise(0))
+    copies = small.withColumn("__salt", F.explode(F.when(among, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(copies, [key, "__salt"], how).drop("__salt")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, spread_join
 
 
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -13,7 +13,8 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
     In every round each root hooks onto the smallest root that a link joins it with if that is smaller;
     chains of hooks are shortened by pointer jumping; nodes and links move to their new roots, and links
-    inside a root go. Minima are aggregated before they are shuffled. Rounds grow with the logarithm of
+    inside a root go. Minima are aggregated before they are shuffled, and roots that hold a large share of the
+    nodes or links are split over tasks. Rounds grow with the logarithm of
     the largest component. Null ends and self links are ignored.
     """
     links = links.where(F.col("a").isNotNull() & F.col("b").isNotNull())
@@ -29,15 +30,15 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         while True:
             jump += 1
             onward = hooks.select(F.col("root").alias("to"), F.col("to").alias("further"))
-            jumped = scratch.write(hooks.join(onward, "to", "left").select("root", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")), f"{name}-hooks{step}-{jump}")
+            jumped = scratch.write(spread_join(hooks, onward, "to").select("root", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")), f"{name}-hooks{step}-{jump}")
             scratch.drop(f"{name}-hooks{step}-{jump - 1}")
             hooks = jumped.select("root", "to")
             if not jumped.where("moved").limit(1).count():
                 break
-        table = scratch.write(table.join(hooks, "root", "left").select("node", F.coalesce("to", "root").alias("root")), f"{name}-table{step}")
+        table = scratch.write(spread_join(table, hooks, "root").select("node", F.coalesce("to", "root").alias("root")), f"{name}-table{step}")
         moved = hooks.select(F.col("root").alias("a"), F.col("to").alias("a2"))
         moved_b = hooks.select(F.col("root").alias("b"), F.col("to").alias("b2"))
-        far = edges.join(moved, "a", "left").join(moved_b, "b").select(F.coalesce("a2", "a").alias("a"), F.col("b2").alias("b"))
+        far = spread_join(spread_join(edges, moved, "a"), moved_b, "b", "inner").select(F.coalesce("a2", "a").alias("a"), F.col("b2").alias("b"))
         edges = scratch.write(far.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges{step}")
         scratch.drop(f"{name}-edges{step - 1}", f"{name}-table{step - 1}", f"{name}-hooks{step}-{jump}")
     return table if step else scratch.write(table, f"{name}-table0")

@@ -1,13 +1,15 @@
 """Near-duplicate detection with an LSH forest over MinHash sketches.
 
 Copies with equal shingle sets first collapse to one representative. Every tree of the forest orders the
-representatives by a signature of its own; the orders are one global range sort, so that a run of equal
-prefixes may lie across many tasks. Neighbours with a common prefix of at least ``depth`` hashes are
-candidates and are confirmed on their full sets; neighbours in the sorted order have the longest common
-prefix there, so the depth at which two texts meet adapts to how crowded their region is. Where a region
-still holds several components after that, all its pairs across components are compared on full
-sets, in blocks of bounded size, and only links that join components leave a block. So of the pairs that
-share a region none is left out.
+representatives by its own signature, the plain sequence of LEVELS minimum hashes; an order is one global
+range sort, so a run of equal prefixes may lie across many tasks. A row's candidate is its neighbour, which
+has the longest common prefix with it. How long that prefix must be adapts to the region: from the base
+depth on, a region with more than CROWD members is divided by one hash more until its parts are small, so
+crowded regions are only searched among texts that agree on more. Candidates are confirmed on full sets.
+
+Regions of three or more members that still hold several components have pairs that were no neighbours.
+Their members are compared by an exact join on the rarest shingles of each set (a prefix filter with length and place
+filters), which leaves out no link and needs no pairs of a region. So of pairs that share a region none is lost.
 """
 
 from __future__ import annotations
@@ -15,22 +17,23 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices
+from .common import Scratch, bound_batches, slices, spread_join
 from .components import components
 from .shingles import minhashes, mixed, shingle_sets
 
-#: Members and shingles of one region in a block, on average at most; a cell compares two blocks.
-BLOCK, BLOCK_SHINGLES = 512, 400_000
-#: Bits of the filter that keeps texts without any candidate out of the comparison; larger inputs fill it more.
-FILTER_BITS = 1 << 23
+#: Hashes of an order, 16 bits of each; members of a region from which on it is divided further.
+LEVELS, CROWD = 12, 32
+#: Buckets in which shingles of open regions are counted, to find the rare ones: 2 MB, whatever the input.
+BUCKETS = 1 << 18
+#: Ids that are broadcast at most to choose texts; with more the texts are shuffled once.
+MOST_IDS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -51,119 +54,131 @@ def sketch_batches(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterato
     for whole in batches:
         for batch in slices(whole, ["text"]):
             sets = shingle_sets(batch.column(1).to_pylist(), forest.width)
-            hashes = minhashes(sets, forest.depth * forest.trees)
+            hashes = minhashes(sets, forest.depth * forest.trees).astype(np.uint16)
             keys = [xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets]
             n = pa.array([len(s) for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(keys, pa.binary()), pa.array([h.tobytes() for h in hashes], pa.binary())], names=["doc_id", "n_shingles", "set_key", "sketch"])
 
 
-def order_batches(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[pa.RecordBatch]:
-    """For every tree: region (hash of the tree and its first hashes), the next two hashes, and the representative."""
-    d, t = forest.depth, forest.trees
+def orders(sketches: DataFrame, forest: Forest) -> DataFrame:
+    """rep and, for every tree, place: the tree and LEVELS hashes, those of the tree first and then those of the next ones."""
+    step = 2 * forest.depth
+    around = F.concat("sketch", *["sketch"] * (-(-2 * LEVELS // (step * forest.trees))))
+    trees = sketches.select("rep", around.alias("around"), F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1))).alias("tree"))
+    tree = F.unhex(F.lpad(F.hex(F.col("tree").cast("long")), 4, "0"))
+    return trees.select(F.concat(tree, F.substring("around", F.col("tree") * step + 1, F.lit(2 * LEVELS))).alias("place"), "rep")
+
+
+def run_batches(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+    """Of one sorted partition, the rows that share a region: region, rep, the neighbour before it, and whether the region may hold more pairs.
+
+    Held for a row of the partition: its id, its region and the length of the prefix that it shares with the row before.
+    """
+    reps, regions, shared, last = [], [], [], None
     for batch in batches:
         if not batch.num_rows:
             continue
-        hashes = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, d * t).astype(np.uint64)
-        rep = batch.column(0).to_numpy()
-        for tree in range(t):
-            region = np.full(len(rep), tree + 1, np.uint64)
-            for i in range(d):
-                region = mixed(region ^ hashes[:, tree * d + i])
-            further = (hashes[:, (tree * d + d) % (d * t)] << np.uint64(32)) | hashes[:, (tree * d + d + 1) % (d * t)]
-            yield pa.RecordBatch.from_arrays([pa.array(region.view(np.int64)), pa.array(further.view(np.int64)), pa.array(rep)], names=["region", "further", "rep"])
-
-
-def run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one sorted partition: rows that share their region with a neighbour, and the first and last row."""
-    from pyspark import TaskContext
-
-    held = [b for b in batches if b.num_rows]
-    if not held:
+        place = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+        before = np.concatenate([~place[:1] if last is None else last, place[:-1]])
+        differs = before != place
+        first = np.where(differs.any(1), differs.argmax(1), place.shape[1])
+        shared.append(((first - 2) // 2).astype(np.int8))
+        region = np.zeros(len(place), np.uint64)
+        for i in range(0, 2 + 2 * depth, 2):
+            region = mixed(region ^ (place[:, i].astype(np.uint64) << np.uint64(8) | place[:, i + 1]) ^ np.uint64(i + 1))
+        regions.append(region.view(np.int64))
+        reps.append(batch.column(1).to_numpy())
+        last = place[-1:].copy()
+    if not reps:
         return
-    region, rep = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 2))
-    n = len(region)
-    same = np.concatenate([[False], region[1:] == region[:-1]])
-    edge = np.zeros(n, np.int32)
-    edge[0] |= 1
-    edge[-1] |= 2
-    keep = np.flatnonzero(same | np.append(same[1:], False) | (edge > 0))
-    previous = pa.array(np.concatenate([[0], rep[:-1]])[keep], mask=~same[keep])
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(region[keep]), pa.array(rep[keep]), previous, pa.array(edge[keep]), pa.array(np.full(len(keep), TaskContext.get().partitionId(), np.int32))], names=["region", "rep", "previous", "edge", "part"]
-    )
+    rep, region, common = np.concatenate(reps), np.concatenate(regions), np.concatenate(shared)
+    common[0] = -1
+    n = len(rep)
+    same = common >= depth
+    # a region at either end may go on in the next partition
+    start = np.flatnonzero(~same)
+    size = np.diff(np.append(start, n))
+    more = np.repeat(size > 2, size)
+    more[: size[0]] = more[n - size[-1] :] = True
+    linked, crowded = same.copy(), np.repeat(size > CROWD, size)
+    for level in range(depth + 1, LEVELS + 1):
+        if not crowded.any():
+            break
+        linked &= ~crowded | (common >= level)
+        size = np.diff(np.append(np.flatnonzero(~linked), n))
+        crowded &= np.repeat(size > CROWD, size)
+    keep = np.flatnonzero(same | np.append(same[1:], False) | more)
+    previous = pa.array(np.concatenate([[0], rep[:-1]])[keep], mask=~linked[keep])
+    for at in range(0, len(keep), 1 << 16):
+        own = keep[at : at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(region[own]), pa.array(rep[own]), previous.slice(at, len(own)), pa.array(more[own])], names=["region", "rep", "previous", "more"])
+
+
+def set_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Full sets of documents."""
+    for whole in batches:
+        for batch in slices(whole, ["text"]):
+            sets = shingle_sets(batch.column(1).to_pylist(), width)
+            ends = np.cumsum([0, *map(len, sets)])
+            values = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], names=["rep", "shingles"])
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b whose full sets are similar enough."""
+    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
+    n, m, common = F.size("x").cast("long"), F.size("y").cast("long"), F.size(F.array_intersect("x", "y")).cast("long")
+    # the sizes alone rule most of the others out; the intersection is only worked out behind them
+    fits = F.least(n, m) * 100 >= F.greatest(n, m) * percent
+    return both.where(F.when(fits, common * (100 + percent) >= (n + m) * percent).otherwise(False)).select("a", "b").distinct()
 
 
-def set_batches(batches: Iterator[pa.RecordBatch], width: int, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Full sets of the documents whose filter bit is on."""
+def needed(n, percent: int, partner=None):
+    """Least intersection of a set of n with one of partner elements, or with any larger one (partner None) at the threshold."""
+    return -(-percent * n // 100) if partner is None else -(-percent * (n + partner) // (100 + percent))
+
+
+def prefix_batches(batches: Iterator[pa.RecordBatch], percent: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rarest shingles of each set, as many as a link can't do without: token, rep, root, n, place, and whether smaller sets are found by it."""
     for whole in batches:
-        place = whole.column(2).to_numpy()
-        on = np.flatnonzero((bits[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1))
-        if not len(on):
-            continue
-        for batch in slices(pa.RecordBatch.from_arrays([whole.column(i).take(pa.array(on)) for i in (0, 1)], names=["doc_id", "text"]), ["text"]):
-            sets = shingle_sets(batch.column(1).to_pylist(), width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "shingles"])
+        for batch in slices(whole, ["shingles"], 2 << 20):
+            rep, root = (batch.column(i).to_numpy() for i in (0, 1))
+            length = np.asarray(batch.column(2).value_lengths()).astype(np.int64)
+            flat = np.asarray(batch.column(2).flatten()).view(np.uint64)
+            owner = np.repeat(np.arange(len(rep)), length)
+            order = np.lexsort((flat, counts[(flat >> np.uint64(46)).astype(np.int64)], owner))
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)
+            asks = length - needed(length, percent) + 1
+            shows = length - needed(length, percent, length) + 1
+            own = place < asks[owner]
+            o, p = owner[own], place[own]
+            columns = [flat[order][own].view(np.int64), rep[o], root[o], length[o], p, p < shows[o]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "rep", "root", "n", "place", "shows"])
+
+
+def across(open_sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs a, b of different roots that an exact prefix filter leaves. open_sets: rep, root, shingles.
+
+    Two sets at the threshold share one of the rarest shingles of each, in any order that holds for all. The order is by the
+    count of a shingle's bucket; a shingle that many texts share is in few prefixes, but those of texts that hold little else.
+    """
+    bucket = F.shiftrightunsigned("shingle", 46)
+    got = open_sets.select(F.explode("shingles").alias("shingle")).groupBy(bucket.alias("bucket")).count().toArrow()  # BUCKETS rows at most
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[got.column("bucket").to_numpy()] = got.column("count").to_numpy()
+    sent = open_sets.sparkSession.sparkContext.broadcast(counts)
+    tokens = scratch.write(
+        open_sets.select("rep", "root", "shingles").mapInArrow(lambda it: prefix_batches(it, percent, sent.value), "token long, rep long, root long, n long, place long, shows boolean"), "tokens"
+    )
+    x, y = tokens.where("shows").alias("x"), tokens.alias("y")
 
+    def c(name: str) -> Column:
+        return F.col(name)
 
-def confirm_batches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for row, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-            a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            if 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)):
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                if 100 * both >= percent * (len(a) + len(b) - both):
-                    keep.append(row)
-        picked = batch.take(pa.array(keep, pa.int64()))
-        yield pa.RecordBatch.from_arrays([picked.column(0), picked.column(1)], names=["a", "b"])
-
-
-def compare_cell(cell: pa.Table, percent: int) -> pa.Table:
-    """Links that join components among the pairs of two blocks of one region; at most one less than its rows."""
-    first = cell.column("low")[0].as_py() == cell.column("high")[0].as_py()
-    rep, root, block = (cell.column(c).to_numpy() for c in ("rep", "root", "block"))
-    sets = [np.frombuffer(x, np.uint64) for x in cell.column("shingles").to_pylist()]
-    size = np.fromiter(map(len, sets), np.int64, len(sets))
-    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = np.cumsum(count > 1) - 1
-    row = np.repeat(np.arange(len(sets)), size)[count[at] > 1]
-    column = shared[at[count[at] > 1]]
-    both = np.zeros((len(sets), len(sets)), np.float32)
-    for low in range(0, int(shared[-1]) + 1, 4096):
-        own = (column >= low) & (column < low + 4096)
-        part = np.zeros((len(sets), 4096), np.float32)
-        part[row[own], column[own] - low] = 1
-        both += part @ part.T
-    union = size[:, None] + size[None, :] - both
-    linked = np.triu((100 * both >= percent * union) & (root[:, None] != root[None, :]), 1)
-    if not first:
-        linked &= block[:, None] != block[None, :]
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    a, b = [], []
-    for i, j in zip(*np.nonzero(linked), strict=True):
-        x, y = find(int(root[i])), find(int(root[j]))
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            a.append(int(rep[i]))
-            b.append(int(rep[j]))
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-
-def filter_bits(spark, reps: DataFrame) -> np.ndarray:
-    """A bit for the hash of every representative; FILTER_BITS / 64 rows at most come to the driver."""
-    place = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS))
-    words = reps.select(F.shiftright(place, 6).alias("word"), (place % 64).cast("int").alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
-    got = words.toArrow()
-    bits = np.zeros(FILTER_BITS // 64, np.uint64)
-    bits[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
-    return bits
+    left = F.least(c("x.n") - c("x.place"), c("y.n") - c("y.place"))
+    fits = (c("x.token") == c("y.token")) & (c("x.root") != c("y.root")) & ((c("x.n") < c("y.n")) | (c("x.n") == c("y.n")) & (c("x.rep") < c("y.rep")))
+    fits &= (c("x.n") * 100 >= c("y.n") * percent) & (left * (100 + percent) >= (c("x.n") + c("y.n")) * percent)
+    return x.join(y, fits).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
@@ -180,6 +195,7 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
+    bound_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     sketches = scratch.write(raw.mapInArrow(lambda it: sketch_batches(it, forest), "doc_id long, n_shingles long, set_key binary, sketch binary"), "sketches")
@@ -187,40 +203,29 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     reps = scratch.write(sound.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "reps")
 
     chosen = sound.select(F.col("doc_id").alias("rep"), "sketch").join(reps.select("rep"), "rep", "left_semi")
-    orders = chosen.select("rep", "sketch").mapInArrow(lambda it: order_batches(it, forest), "region long, further long, rep long")
-    runs = scratch.write(
-        orders.repartitionByRange(parts, "region", "further", "rep").sortWithinPartitions("region", "further", "rep").mapInArrow(run_batches, "region long, rep long, previous long, edge int, part int"), "runs"
-    )
-    # first and last row of each partition: two for a partition at most
-    edges = sorted(runs.where("edge > 0").select("part", "edge", "region", "rep").collect(), key=lambda r: r["part"])
-    last = {r["part"]: r for r in edges if r["edge"] & 2}
-    first = {r["part"]: r for r in edges if r["edge"] & 1}
-    seams = [(last[p]["rep"], first[q]["rep"]) for p, q in pairwise(sorted(first)) if last[p]["region"] == first[q]["region"]]
-    neighbours = runs.where("previous is not null").select(F.least("previous", "rep").alias("a"), F.greatest("previous", "rep").alias("b"))
-    neighbours = neighbours.unionAll(spark.createDataFrame([(min(s), max(s)) for s in seams], "a long, b long")).where("a <> b").distinct()
-
-    sent = spark.sparkContext.broadcast(filter_bits(spark, runs.select("rep")))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    sets = scratch.write(
-        raw.where("doc_id is not null").withColumn("place", place).mapInArrow(lambda it: set_batches(it, forest.width, sent.value), "rep long, shingles binary"), "sets"
-    )
-    pairs = neighbours.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
-    near = scratch.write(pairs.select("a", "b", "x", "y").mapInArrow(lambda it: confirm_batches(it, forest.percent), "a long, b long"), "near")
+    sorted_orders = orders(chosen, forest).repartitionByRange(parts, "place", "rep").sortWithinPartitions("place", "rep")
+    runs = scratch.write(sorted_orders.mapInArrow(lambda it: run_batches(it, forest.depth), "region long, rep long, previous long, more boolean"), "runs")
+    neighbours = runs.where("previous is not null").select(F.least("previous", "rep").alias("a"), F.greatest("previous", "rep").alias("b")).where("a <> b").distinct()
+
+    ids = scratch.write(runs.select("rep").distinct(), "ids")
+    asked = ids.select(F.col("rep").alias("doc_id"))
+    asked = F.broadcast(asked) if ids.count() <= MOST_IDS else asked.hint("merge")
+    sets = scratch.write(raw.where("doc_id is not null").join(asked, "doc_id", "left_semi").mapInArrow(lambda it: set_batches(it, forest.width), "rep long, shingles array<long>"), "sets")
+    near = scratch.write(confirmed(neighbours, sets, forest.percent), "near")
     roots = components(near, scratch, "first")
 
-    rooted = runs.select("region", "rep").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").join(sound.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size")).distinct(), "rep")
-    members = scratch.write(rooted.select("region", "rep", F.coalesce("root", "rep").alias("root"), "size").dropDuplicates(["region", "rep"]), "members")
-    crowded = members.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 2 and low <> high")
-    crowded = scratch.write(crowded.select("region", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "crowded")
-    placed = members.join(crowded, "region").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    placed = placed.select("region", "rep", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = placed.select("region", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rep", "root", "block").join(sets, "rep")
-    across = scratch.write(cells.groupBy("region", "low", "high").applyInArrow(lambda cell: compare_cell(cell, forest.percent), "a long, b long").distinct(), "across")
-    if across.limit(1).count():
-        roots = components(near.unionAll(across), scratch, "second")
-    scratch.drop("runs", "sets", "members", "crowded")
-
-    full = sound.select("doc_id", "n_shingles", "set_key").join(reps, "set_key").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    members = scratch.write(runs.where("more").select("region", "rep").distinct().join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("region", "rep", F.coalesce("root", "rep").alias("root")), "members")
+    mixed_regions = members.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("region")
+    opened = members.join(mixed_regions, "region", "left_semi").select("rep", "root").distinct()
+    open_sets = scratch.write(opened.join(sets, "rep").select("rep", "root", "shingles"), "open")
+    if open_sets.limit(1).count():
+        further = scratch.write(confirmed(across(open_sets, forest.percent, scratch), sets, forest.percent), "further")
+        if further.limit(1).count():
+            roots = components(near.unionAll(further), scratch, "second")
+    scratch.drop("runs", "ids", "sets", "members", "open", "tokens")
+
+    named = sound.select("doc_id", "n_shingles", "set_key")
+    full = spread_join(named, reps, "set_key", "inner").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     full = full.select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
     rest = sketches.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.unionAll(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
 from itertools import chain
 
@@ -15,20 +16,20 @@ MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6
 class WordTable:
     """64-bit hashes of the distinct words met. It starts anew beyond most entries."""
 
-    def __init__(self, most: int = 400_000):
-        self.most, self.code, self.hash = most, {}, []
+    def __init__(self, most: int = 120_000):
+        self.most, self.code, self.hash = most, {}, array("Q")
 
     def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Hash of every word in order, and the number of words of each text. A-Z is lower-cased."""
         split = [t.lower().split() for t in texts]
         if len(self.code) > self.most:
-            self.code, self.hash = {}, []
+            self.code, self.hash = {}, array("Q")
         for w in set().union(*split) - self.code.keys():
             self.code[w] = len(self.hash)
             self.hash.append(xxhash.xxh64_intdigest(w))
         n = np.fromiter(map(len, split), np.int64, len(split))
         codes = np.fromiter(map(self.code.__getitem__, chain.from_iterable(split)), np.int64, int(n.sum()))
-        return (np.array(self.hash, np.uint64)[codes] if len(codes) else np.zeros(0, np.uint64)), n
+        return (np.frombuffer(self.hash, np.uint64)[codes] if len(codes) else np.zeros(0, np.uint64)), n
 
 
 @lru_cache(1)
