@@ -1,9 +1,10 @@
 """Secret scan in SQL functions: three kinds of pattern, and sliding-window entropy over candidate strings.
 
-The place of a match is the length of all that split() and regexp_extract_all() return before it, so
-all matches are found with their code points without a UDF. A candidate string is a run of characters
-that base64 or hex text may hold. Over each of its windows the entropy is kept up by counts that change
-by the character that enters and the one that leaves.
+The place of a match is the length of all that split() and regexp_extract_all() return before it. Sums run
+over blocks of matches, so that the work grows with their number and not with its square. A candidate string is a
+run of characters that base64 or hex text may hold. The entropy of its windows is kept up by the counts of
+the character that enters and of the one that leaves. No pattern here repeats a group without a bound, as
+Java's matcher would recurse once for each repetition.
 """
 
 from __future__ import annotations
@@ -19,26 +20,38 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 ASSIGN_LEAST = 8
+KNOWN = f"^(?:{ASSIGN}|{ACCESS}|{HEX})$"
 
-#: Entropy. Windows of 20 characters; bits per character from which a window is random enough, by the
-#: class of the whole candidate or of the window alone. The allow-list (dates, paths, repeated words, well-known
-#: hosts, UUIDs, plain letters) holds for a whole candidate; within one, for its pieces and runs of one character.
+#: Entropy: windows of WINDOW characters. Classes of a window by its characters, the first that fits, and the bits per
+#: character from which a window is random enough. Letters alone need both cases and that these change often.
 WINDOW = 20
-CLASSES = {"mixed": (r"(?=.*[A-Z])(?=.*[a-z])(?=.*[0-9])[A-Za-z0-9+/_=-]+", 3.9), "lower": (r"(?=.*[a-z])(?=.*[g-z])(?=.*[0-9])[a-z0-9_=-]+", 3.7), "upper": (r"(?=.*[A-Z])(?=.*[0-9])[A-Z0-9_=-]+", 3.7), "hexadecimal": (r"(?=.*[0-9])(?=.*[a-f])[0-9a-f]+|(?=.*[0-9])(?=.*[A-F])[0-9A-F]+", 3.0)}
+CLASSES = {
+    "hexadecimal": (r"(?=.*[0-9])(?:(?=.*[a-f])[0-9a-f]++|(?=.*[A-F])[0-9A-F]++)", 3.0),
+    "lower": (r"(?=.*[a-z])(?=.*[0-9])[a-z0-9_=-]++", 3.7),
+    "upper": (r"(?=.*[A-Z])(?=.*[0-9])[A-Z0-9_=-]++", 3.7),
+    "mixed": (r"(?=.*[A-Z])(?=.*[a-z])(?=.*[0-9])[A-Za-z0-9+/_=-]++", 3.9),
+    "letters": (r"(?=.*?(?:[A-Z]++[a-z]++){5})[A-Za-z+/_=-]++", 3.9),
+}
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-ALLOWED = r"^(?:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|[A-Za-z]+|[0-9_=+/-]+|/?(?:[a-z0-9_-]{1,12}/)+[a-z0-9_-]{1,12})$|(?i:example|lorem|sample|placeholder|changeme)|(.)\1{5}"
-#: Where a candidate falls into pieces, the words and forms of the allow-list that a piece may have, and runs of one character.
+#: The allow-list. A candidate falls into pieces; a UUID, or a piece with one of these words, is blanked, and so are runs of one character.
 PIECES = r"(?<=[/=])|(?<=[_-]{2})"
-ALLOWED_PIECE = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}[/=_-]*$|(?i:example|lorem|sample|placeholder|changeme)"
+ALLOWED = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}[/=_-]*$|(?i:example|lorem|sample|placeholder|changeme)"
 RUN = r"(.)\1{5}"
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: Matches in a block of sums.
+BLOCK = 256
+SPANS = "array<struct<start:int,end:int,found:string>>"
+
+
+def bound(value: Column, use) -> Column:
+    """use(value) with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, end, found>> of a pattern's matches, in code points, end exclusive."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     steps = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("found"))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("out"))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.char_length(x["gap"])
@@ -47,76 +60,62 @@ def matches(text: Column, pattern: str) -> Column:
         out = F.when(x["found"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["found"].alias("found")))))
         return F.struct(end.alias("at"), out.alias("out"))
 
-    return F.aggregate(steps, begin, step, lambda acc: acc["out"])
+    def join(acc: Column, block: Column) -> Column:
+        moved = F.transform(block["out"], lambda m: F.struct((m["start"] + acc["at"]).alias("start"), (m["end"] + acc["at"]).alias("end"), m["found"].alias("found")))
+        return F.struct((acc["at"] + block["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
 
+    def blocks(all_steps: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), ((F.size(all_steps) - 1) / BLOCK).cast("int")), lambda k: F.slice(all_steps, k * BLOCK + 1, BLOCK))
+        own = F.transform(parts, lambda part: F.aggregate(part, begin, step))
+        return F.aggregate(own, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("out")), join, lambda acc: F.flatten(acc["out"]))
 
-def entropy(candidate: Column, window: int = WINDOW) -> Column:
-    """The highest Shannon entropy, bits per character, of any window of a candidate string.
+    return bound(steps, blocks)
 
-    The sum of c * log2(c) over the counts c changes by the entering and the leaving character alone.
+
+def over_windows(candidate: Column, start: Column, window: int, judge) -> Column:
+    """Goes over the windows of an ASCII string: judge(state, entropy, window's text) gives the next state, and the last one is returned.
+
+    The sum of c * log2(c) over the counts c of a window's characters changes by two terms from one window to the
+    next: the counts, among the characters that both share, of the one that enters and of the one that leaves.
     """
-    codes = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
-    term = F.array(*[F.lit(0.0)] * 2, *[F.log2(F.lit(float(c))) * c for c in range(2, window + 2)])
-    zero = F.array_repeat(F.lit(0), len(ALPHABET))
-    begin = F.struct(zero.alias("count"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(1e9).alias("least"))
+    grows = F.array(*[F.lit((k + 1) * math.log2(k + 1) - (k * math.log2(k) if k else 0)) for k in range(window + 1)])
 
-    def step(acc: Column, x: Column) -> Column:
-        enters, leaves = x["enters"], x["leaves"]
-        one = F.when(leaves.isNull(), acc["sum"]).otherwise(acc["sum"] - F.get(term, F.get(acc["count"], leaves)) + F.get(term, F.get(acc["count"], leaves) - 1))
-        had = F.get(acc["count"], enters) - F.when(leaves == enters, 1).otherwise(0)
-        total = one - F.get(term, had) + F.get(term, had + 1)
-        count = F.transform(acc["count"], lambda c, i: c + F.when(i == enters, 1).otherwise(0) - F.when(i == leaves, 1).otherwise(0))
-        full = acc["n"] + 1 >= window
-        return F.struct(count.alias("count"), total.alias("sum"), (acc["n"] + 1).alias("n"), F.when(full, F.least(acc["least"], total)).otherwise(acc["least"]).alias("least"))
-
-    ahead = F.concat(F.array_repeat(F.lit(None).cast("int"), window), F.slice(codes, 1, F.greatest(F.size(codes) - window, F.lit(0))))
-    steps = F.arrays_zip(codes.alias("enters"), ahead.alias("leaves"))
-    return F.lit(math.log2(window)) - F.aggregate(steps, begin, step, lambda acc: acc["least"]) / window
-
-
-def random_window(candidate: Column, window: int = WINDOW) -> Column:
-    """Whether any window is random enough for the class of its own characters. What the allow-list covers is blank and in no class."""
-    blank = F.transform(F.split(candidate, PIECES), lambda x: F.when(x.rlike(ALLOWED_PIECE), F.repeat(F.lit(" "), F.char_length(x))).otherwise(x))
-    codes = F.transform(F.split(F.regexp_replace(F.array_join(blank, ""), RUN, " " * 6), ""), lambda c: F.instr(F.lit(ALPHABET + " "), c) - 1)
-    # kinds of character: A-F, G-Z, a-f, g-z, digits, + and /, _ and = and -, blank
-    kinds = F.array(*map(F.lit, [0] * 6 + [1] * 20 + [2] * 6 + [3] * 20 + [4] * 10 + [5] * 2 + [6] * 3 + [7]))
-    term = F.array(*[F.lit(0.0)] * 2, *[F.log2(F.lit(float(c))) * c for c in range(2, window + 2)])
-    begin = F.struct(F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("count"), F.array_repeat(F.lit(0), 8).alias("kind"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(False).alias("found"))
-
-    def bits(kind: Column) -> Column:
-        has = [F.get(kind, F.lit(k)) > 0 for k in range(8)]
-        upper, lower = has[0] | has[1], has[2] | has[3]
-        mixed, low, high, hexadecimal = (c[1] for c in CLASSES.values())
-        own = F.when(upper & lower, mixed).when(~has[5] & ~upper & has[3], low).when(~has[5] & ~lower & upper, high).when(~has[5] & ~has[6] & ~upper & lower, hexadecimal)
-        return F.when(has[4] & ~has[7], own)
-
-    def moved(array: Column, enters: Column, leaves: Column) -> Column:
-        return F.transform(array, lambda c, i: c + F.when(i == enters, 1).otherwise(0) - F.when(i == leaves, 1).otherwise(0))
+    def go(text: Column) -> Column:
+        def at(i: Column, n) -> Column:
+            return F.substring(text, i, n).cast("string")
 
-    def step(acc: Column, x: Column) -> Column:
-        enters, leaves = x["enters"], x["leaves"]
-        one = F.when(leaves.isNull(), acc["sum"]).otherwise(acc["sum"] - F.get(term, F.get(acc["count"], leaves)) + F.get(term, F.get(acc["count"], leaves) - 1))
-        had = F.get(acc["count"], enters) - F.when(leaves == enters, 1).otherwise(0)
-        total = one - F.get(term, had) + F.get(term, had + 1)
-        return F.struct(moved(acc["count"], enters, leaves).alias("count"), moved(acc["kind"], F.get(kinds, enters), F.get(kinds, leaves)).alias("kind"), total.alias("sum"), (acc["n"] + 1).alias("n"), acc["found"].alias("found"))
+        def step(acc: Column, i: Column) -> Column:
+            shared = at(F.greatest(i - window + 1, F.lit(1)), F.least(i - 1, F.lit(window - 1)))
+            count = lambda c: F.length(shared) - F.length(F.replace(shared, c, F.lit("")))
+            leaves = F.when(i > window, F.get(grows, count(at(i - window, F.lit(1))))).otherwise(0.0)
+            total = acc["sum"] + F.get(grows, count(at(i, F.lit(1)))) - leaves
+            full = lambda s: F.when(i >= window, judge(acc["state"], math.log2(window) - s / window, at(i - window + 1, F.lit(window)))).otherwise(acc["state"])
+            return bound(total, lambda s: F.struct(s.alias("sum"), full(s).alias("state")))
+
+        return F.aggregate(F.sequence(F.lit(1), F.length(text)), F.struct(F.lit(0.0).alias("sum"), start.alias("state")), step, lambda acc: acc["state"])
+
+    return bound(candidate.cast("binary"), go)
 
-    def judged(acc: Column, x: Column) -> Column:
-        # the test of a window is made when the next character comes, so the counts of a step are worked out once
-        enough = F.coalesce((acc["n"] >= window) & (F.lit(math.log2(window)) - acc["sum"] / window >= bits(acc["kind"]) - 1e-9), F.lit(False))
-        return step(acc, x).withField("found", acc["found"] | enough)
 
-    ahead = F.concat(F.array_repeat(F.lit(None).cast("int"), window), codes)
-    # a blank behind the end has the last window judged
-    steps = F.arrays_zip(F.concat(codes, F.array(F.lit(len(ALPHABET)))).alias("enters"), F.slice(ahead, 1, F.size(codes) + 1).alias("leaves"))
-    return F.aggregate(steps, begin, judged, lambda acc: acc["found"])
+def entropy(candidate: Column, window: int = WINDOW) -> Column:
+    """The highest Shannon entropy, bits per character, of any window of a candidate string."""
+    return over_windows(candidate, F.lit(0.0), window, lambda state, bits, _: F.greatest(state, bits))
 
 
 def random_looking(candidate: Column) -> Column:
-    least = F.lit(None).cast("double")
-    for pattern, bits in reversed(CLASSES.values()):
-        least = F.when(candidate.rlike(f"^(?:{pattern})$"), F.lit(bits)).otherwise(least)
-    whole = least.isNotNull() & ~candidate.rlike(ALLOWED) & (entropy(candidate) >= least)
-    return F.coalesce(whole, F.lit(False)) | random_window(candidate)
+    """Whether any window is random enough for its class. What the allow-list covers is blank and in no class."""
+    blank = F.transform(F.split(candidate, PIECES), lambda x: F.when(x.rlike(ALLOWED), F.repeat(F.lit(" "), F.length(x))).otherwise(x))
+    cleared = F.regexp_replace(F.array_join(blank, ""), RUN, " " * 6)
+    lowest = min(bits for _, bits in CLASSES.values())
+
+    def judge(state: Column, bits: Column, text: Column) -> Column:
+        least = F.lit(None).cast("double")
+        for pattern, limit in reversed(CLASSES.values()):
+            least = F.when(text.rlike(f"^(?:{pattern})$"), F.lit(limit)).otherwise(least)
+        # the class is only looked for where it can matter
+        return F.when(state, True).when(bits < lowest - 1e-9, False).otherwise(F.coalesce(bits >= least - 1e-9, F.lit(False)))
+
+    return over_windows(cleared, F.lit(False), WINDOW, judge)
 
 
 def secret_spans(docs: DataFrame) -> DataFrame:
@@ -128,19 +127,17 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     and has no spans; repeated rows each give a row; a null doc_id stays null; an empty table gives no rows.
     All of it is SQL functions inside one scan; there is no shuffle.
     """
-    none = F.array().cast("array<struct<start:int,end:int,found:string>>")
+    none = F.array().cast(SPANS)
     text = F.col("text")
     measured = lambda m: F.char_length(F.regexp_extract(m["found"], ASSIGN, 2)) >= ASSIGN_LEAST
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")).select(
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")).select(
         "doc_id",
         F.when(text.rlike(ASSIGN), F.filter(matches(text, ASSIGN), measured)).otherwise(none).alias("assign"),
         F.when(F.contains(text, F.lit("AKIA")) & text.rlike(ACCESS), matches(text, ACCESS)).otherwise(none).alias("access"),
         F.when(text.rlike(HEX), matches(text, HEX)).otherwise(none).alias("hex"),
-        F.when(text.rlike(CANDIDATE), F.filter(matches(text, CANDIDATE), lambda m: random_looking(m["found"]))).otherwise(none).alias("candidate"),
+        # a candidate inside an assignment is matched with it; one that an access key or a hex run covers is that key or run
+        F.when(text.rlike(CANDIDATE), F.filter(matches(text, f"{ASSIGN}|{CANDIDATE}"), lambda m: ~m["found"].rlike(KNOWN) & random_looking(m["found"]))).otherwise(none).alias("entropy"),
     )
-    known = F.concat("assign", "access", "hex")
-    new = F.filter("candidate", lambda c: ~F.exists(known, lambda k: (k["start"] <= c["start"]) & (k["end"] >= c["end"])))
-    return out.select("doc_id", "assign", "access", "hex", new.alias("entropy"))
 
 
 def digests(spans: DataFrame) -> DataFrame:

@@ -250,3 +250,20 @@ def test_gradients():
             array[at] -= step
         assert grad[name][at] == pytest.approx((values[0] - values[1]) / 0.02, rel=0.05, abs=0.01)
     assert d
+
+
+def test_secrets_in_deep_and_crowded_texts(spark):
+    """Paths of any depth, and very many matches in one text."""
+    import time
+
+    deep = "a/" * 200_000 + "X1"
+    many = "token=abcdefgh1 " * 100_000
+    crowd = "see q7Zt3LxVb9KpR2mWc8YdN5sH1 here " * 4000
+    df = spark.createDataFrame([(1, deep), (2, many), (3, crowd), (3, crowd), (None, "password: hunter2222")], "doc_id long, text string").selectExpr("*", "'clash' as spans", "0 as n_hex")
+    began = time.time()
+    got = secret_scan.digests(secret_scan.secret_spans(df)).collect()
+    assert time.time() - began < 90 and len(got) == 5
+    by = {r.doc_id: r for r in got}
+    spans = ",".join(f"assign:{m.start()}:{m.end()}" for m in re.finditer("token=abcdefgh1", many))
+    assert (by[1].spans, by[2].n_assign, by[2].base_sha256) == ("", 100_000, hashlib.sha256(spans.encode()).hexdigest())
+    assert by[3].spans == ",".join(f"entropy:{35 * i + 4}:{35 * i + 29}" for i in range(4000)) and by[None].n_assign == 1
