@@ -74,10 +74,23 @@ def spread_join(big: DataFrame, small: DataFrame, key: str, how: str = "left") -
     hot = [r[0] for r in big.groupBy(key).count().where(F.col("count") > max(HOT_ROWS, n // HOT_SHARE)).collect()] if n > HOT_ROWS else []
     if not hot:
         return big.join(small, key, how)
-    among = F.col(key).isin(hot)
-    dealt = big.withColumn("__salt", F.when(among, F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int")).otherwise(0))
-    copies = small.withColumn("__salt", F.explode(F.when(among, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    return dealt.join(copies, [key, "__salt"], how).drop("__salt")
+    among, salt = F.col(key).isin(hot), unused("salt", big, small)
+    dealt = big.withColumn(salt, F.when(among, F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int")).otherwise(0))
+    copies = small.withColumn(salt, F.explode(F.when(among, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(copies, [key, salt], how).drop(salt)
+
+
+def unused(name: str, *tables: DataFrame) -> str:
+    """A column name like the given one that none of the tables has."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def some(df: DataFrame, most: int) -> DataFrame:
+    """A side of a join: broadcast if it is counted to have no more rows than most, else joined by shuffling."""
+    return F.broadcast(df) if df.count() <= most else df.hint("merge")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

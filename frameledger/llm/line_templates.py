@@ -19,11 +19,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, spread_join
+from .common import Scratch, some, spread_join, unused
 
 #: Variable fields, a fixed pattern: tokens with a digit or an at sign, and links. Tokens are tried at their start alone.
 FIELDS = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*|https?:\S+"
-VARIES = r"[0-9@]|https?:"
+VARIES = r"[0-9@]"
 FIELD = "<*>"
 #: Leading tokens that are levels of the tree.
 LEAD = 2
@@ -42,21 +42,22 @@ def single_blanks(line: Column) -> Column:
 
 def masked(line: Column) -> Column:
     """A line's form. The pattern only runs where it can match."""
-    return F.when(line.rlike(VARIES), F.regexp_replace(line, FIELDS, FIELD)).otherwise(line)
+    return F.when(line.rlike(VARIES) | F.contains(line, F.lit("http")), F.regexp_replace(line, FIELDS, FIELD)).otherwise(line)
 
 
 def occurrences(text: Column, part: str) -> Column:
     return ((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("int")
 
 
-def place(form: Column) -> Column:
-    """A form's two hashes, its leaf, its tokens and how many of them are fixed; null for a line without tokens."""
-    n = occurrences(form, " ") + 1
-    leaf = F.xxhash64(n, F.substring_index(form, " ", LEAD))
-    return F.when(
-        form != "",
-        F.struct(F.xxhash64(form).alias("one"), F.xxhash64(F.lit("second"), form).alias("two"), leaf.alias("leaf"), n.alias("n"), (n - occurrences(form, FIELD)).alias("fixed")),
-    )
+def hashes(form: Column) -> list[Column]:
+    return [F.xxhash64(form).alias("one"), F.xxhash64(F.lit("second"), form).alias("two")]
+
+
+def place(x: Column) -> Column:
+    """Of a form and its number of tokens: two hashes, its leaf, its tokens and how many of them are fixed; null for a line without tokens."""
+    form, n = x["form"], x["n"]
+    fields = F.when(F.contains(form, F.lit(FIELD)), occurrences(form, FIELD)).otherwise(0)
+    return F.when(form != "", F.struct(*hashes(form), F.xxhash64(n, F.substring_index(form, " ", LEAD)).alias("leaf"), n.alias("n"), (n - fields).alias("fixed")))
 
 
 def forms_of(text: Column) -> Column:
@@ -70,7 +71,8 @@ def content(text: Column) -> Column:
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """One row for each line with tokens: content (c1, c2), pos, one, two, leaf, n, fixed. Only hashes leave the scan."""
-    rows = docs.select(content(F.col("text")).alias("c"), F.posexplode(F.transform(forms_of(F.col("text")), place)).alias("pos", "x"))
+    counted = F.transform(forms_of(F.col("text")), lambda f: F.struct(f.alias("form"), (occurrences(f, " ") + 1).alias("n")))
+    rows = docs.select(content(F.col("text")).alias("c"), F.posexplode(F.transform(counted, place)).alias("pos", "x"))
     return rows.where("x is not null").select("c.c1", "c.c2", "pos", "x.one", "x.two", "x.leaf", "x.n", "x.fixed")
 
 
@@ -79,19 +81,14 @@ def enough(texts: Column, fixed: Column, total: int) -> Column:
     return (texts >= least) & ((fixed >= FEW) | (texts * RARE >= total))
 
 
-def some(df: DataFrame) -> DataFrame:
-    """A side of a join, broadcast if its rows are counted to be few."""
-    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df.hint("merge")
-
-
 def generalised(docs: DataFrame, rest: DataFrame, total: int, scratch: Scratch) -> DataFrame:
     """Forms that belong to the template of their leaf: one, two, t1, t2, fixed. rest: forms that don't recur by themselves."""
     wide = rest.where(f"n > {LEAD}")
     crowded = scratch.write(wide.groupBy("leaf").agg(F.sum("docs").alias("weight")).where(F.col("weight") >= LEAST), "crowded")
-    open_forms = scratch.write(wide.join(some(crowded), "leaf").select("one", "two", "leaf", "n", "docs", "weight"), "open")
+    open_forms = scratch.write(wide.join(some(crowded, MOST_BROADCAST), "leaf").select("one", "two", "leaf", "n", "docs", "weight"), "open")
     # the tokens of the forms in question, from a scan of their own
-    tokens = docs.select(F.explode(F.transform(forms_of(F.col("text")), lambda f: F.struct(place(f).alias("at"), f.alias("form")))).alias("x")).where("x.at is not null")
-    tokens = tokens.select("x.at.one", "x.at.two", "x.form").join(some(open_forms), ["one", "two"])
+    tokens = docs.select(F.explode(F.transform(forms_of(F.col("text")), lambda f: F.struct(*hashes(f), f.alias("form")))).alias("x"))
+    tokens = tokens.select("x.one", "x.two", "x.form").join(some(open_forms, MOST_BROADCAST), ["one", "two"])
     tokens = tokens.groupBy("one", "two", "leaf", "n", "docs", "weight").agg(F.min("form").alias("form"))
     each = scratch.write(tokens.select("one", "two", "leaf", "n", "docs", "weight", F.posexplode(F.split("form", " ")).alias("at", "token")), "tokens")
     stays = each.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("shown"), F.max("weight").alias("weight")).where("shown * 2 > weight").select("leaf", "at", "token")
@@ -125,7 +122,7 @@ def drops(docs: DataFrame, scratch: Scratch) -> DataFrame:
     evidence = hits.select("c1", "c2", "t1", "t2", "fixed").distinct().join(copied, ["c1", "c2"], "left_semi").groupBy("t1", "t2", "fixed").agg(F.count(F.lit(1)).alias("docs"))
     gone = scratch.write(evidence.where(enough(F.col("docs"), F.col("fixed"), total)).select("t1", "t2"), "gone")
     same = hits["t1"].eqNullSafe(gone["t1"]) & hits["t2"].eqNullSafe(gone["t2"])
-    out = scratch.write(hits.join(some(gone), same, "left_semi").groupBy("c1", "c2").agg(F.collect_set("pos").alias("__drop")), "drops")
+    out = scratch.write(hits.join(some(gone, MOST_BROADCAST), same, "left_semi").groupBy("c1", "c2").agg(F.collect_set("pos").alias("drop")), "drops")
     scratch.drop("lines", "texts", "forms", "crowded", "open", "tokens", "stays", "own", "templates", "hits", "gone")
     return out
 
@@ -141,16 +138,17 @@ def line_dedup(docs: DataFrame, counts: bool = True) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "lines")
     names = [c for c in docs.columns if not counts or c not in ("n_lines", "n_dropped")]
     # one plan at every size; a text's list is no longer than its lines, and AQE splits a text that very many rows share
-    found = drops(docs.where("text is not null").select("text"), scratch).select(F.struct("c1", "c2").alias("__c"), "__drop").hint("merge")
-    rows = docs.select(*names, content(F.col("text")).alias("__c")).join(found, "__c", "left")
+    key, drop = unused("content", docs), unused("drop", docs)
+    found = drops(docs.where("text is not null").select("text"), scratch).select(F.struct("c1", "c2").alias(key), F.col("drop").alias(drop)).hint("merge")
+    rows = docs.select(*names, content(F.col("text")).alias(key)).join(found, key, "left")
     split = F.split("text", "\n")
-    kept = F.filter(split, lambda x, i: ~F.array_contains(F.col("__drop"), i))
-    touched = F.col("__drop").isNotNull() & F.col("text").isNotNull()
+    kept = F.filter(split, lambda x, i: ~F.array_contains(F.col(drop), i))
+    touched = F.col(drop).isNotNull() & F.col("text").isNotNull()
     text = F.when(touched, F.array_join(kept, "\n")).otherwise(F.col("text"))
     out = [text.alias("text") if c == "text" else F.col(c) for c in names]
     if counts:
         out.append(F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"))
-        out.append(F.when(touched, F.size("__drop")).otherwise(0).cast("long").alias("n_dropped"))
+        out.append(F.when(touched, F.size(drop)).otherwise(0).cast("long").alias("n_dropped"))
     return rows.select(*out)
 
 

@@ -12,6 +12,8 @@ import pytest
 from frameledger.llm import components, exact_dedup, line_templates, mixing, near_dup, secret_scan, sentencepiece_codec, sharding, token_counts, topk_search, toxicity
 from frameledger.llm.common import Scratch
 
+from . import plain
+
 rnd = random.Random(5)
 WORDS = ["alpha", "beta", "gamma", "delta", "eps", "zeta9", "été", "Σίσυφος", "日本", "a" * 40]
 ROWS = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "one"), (5, "one"), (None, "no id"), (6, "x " * 3000), (7, "<|endoftext|> it's <s> ▁▁ \x00 \x1c\x85 é")] + [
@@ -147,6 +149,30 @@ def test_near_duplicates(spark, empty):
     assert near_dup.near_duplicates(empty).count() == 0
 
 
+def test_crowded_region_is_searched_whole_with_little_work(spark, tmp_path):
+    """Texts of one template, most of them just too different: no region of theirs is compared pair by pair, and no link is lost."""
+    own = random.Random(12)
+    frame = [f"t{i}" for i in range(80)]
+    rows = []
+    for n in range(900):
+        words = list(frame)
+        for _ in range(own.choice((2, 3, 4, 5))):  # a word changes three shingles
+            words[own.randrange(80)] = f"v{own.randrange(10**6)}"
+        rows.append((n, " ".join(words)))
+    for n in range(0, 200, 2):
+        rows.append((1000 + n, rows[n][1].rsplit(" ", 1)[0] + " tail"))
+    want = plain.near_components(rows, 3, 90)
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as rep", "'x' as component_id")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df, near_dup.Forest(3, 90, 5, 24)).collect()}
+    assert got == {i: (n[0], root) for i, (n, root) in want.items()} and len({r for _, r in got.values()}) > 300
+    # candidates of the exact join, against all pairs
+    sets = [{hash(tuple(t.split()[k : k + 3])) & (2**63 - 1) for k in range(len(t.split()) - 2)} for _, t in rows]
+    open_sets = spark.createDataFrame([(i, i, sorted(x)) for (i, _), x in zip(rows, sets, strict=True)], "rep long, root long, shingles array<long>")
+    pairs = near_dup.across(open_sets, 90, Scratch(spark, "t")).collect()
+    links = {tuple(sorted((rows[i][0], rows[j][0]))) for i in range(len(rows)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j])}
+    assert links <= {(r.a, r.b) for r in pairs} and len(pairs) < len(links) + len(rows) * 30 < len(rows) ** 2 / 10
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 130)] + [(7, 7), (None, 3)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "t"), "t").collect()}
@@ -165,25 +191,83 @@ def test_exact(spark, docs, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
+def some_texts():
+    """Texts of own words, some with a licence block, a template whose fields are plain words or numbers, repeated lines; copies and near copies."""
+    own = random.Random(8)
+    word = lambda: "".join(own.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    line = lambda n=9: " ".join(word() for _ in range(n))
+    block = "\n\nAll rights reserved.\nThis  text is shared under the terms below\nby its first author.\n"
+    out = []
+    for i in range(60):
+        text = "\n".join(line() for _ in range(8))
+        if i % 2 == 0:
+            text += block + line()
+        if i % 4 == 1:
+            text += f"\nPosted by {word()} in {word()}\nSeen {i} times at {i}:{i}"
+        if i % 10 == 3:
+            text += "\nDem.\n" + "\t\n"
+        out.append(text)
+    out += [out[0]] * 7
+    words = line(200).split(" ")
+    for n in range(12):  # near copies in lines of ten words
+        copy = list(words)
+        copy[15 * n] = word()
+        out.append("\n".join(" ".join(copy[k : k + 10]) for k in range(0, 200, 10)))
+    return out + ["This line stands thrice in one text now\n" * 3 + line()] * 2 + [f"This line stands thrice in one text now\n{line(30)}" for _ in range(16)] + ["", None, "\n\n", block]
+
+
 def test_lines(spark, empty):
-    texts = {i: f"own line {'abcdefghij'[i]}\nPosted at {i}:{i} by user{i}\nclosing {'klmnopqrst'[i]}" for i in range(10)} | {20 + i: "a copied text\nof two lines" for i in range(9)} | {40: None, 41: ""}
-    df = spark.createDataFrame([(i, t, "clash") for i, t in texts.items()], "doc_id long, text string, n_lines string")
-    got = {r.doc_id: r for r in line_templates.line_dedup(df).collect()}
-    assert all(got[i].text.split("\n") == [texts[i].split("\n")[0], texts[i].split("\n")[2]] and got[i].n_dropped == 1 for i in range(10))
-    assert all(got[i].text == texts[i] for i in texts if i >= 20)
+    texts = some_texts()
+    df = spark.createDataFrame([(None if i % 9 == 4 else i // 2, t, "clash", 5) for i, t in enumerate(texts)], "doc_id long, text string, n_lines string, __drop int")
+    want = plain.line_dedup(texts)
+    got = line_templates.line_dedup(df).collect()
+    key = lambda x: (x[0] is None, *map(str, x))
+    assert sorted(((r.text, r.n_lines, r.n_dropped) for r in got), key=key) == sorted(((None, 0, 0) if t is None else want[t] for t in texts), key=key)
+    joined = "\n".join(r.text or "" for r in got)
+    assert not re.search("All rights|first author|Posted by|Seen|stands thrice", joined) and "Dem." not in joined
+    assert sum(r.n_dropped for r in got if r.n_lines == 20) == 0
+    kept = line_templates.line_dedup(df, counts=False)
+    assert kept.columns == df.columns and {r.n_lines for r in kept.collect()} == {"clash"}
     assert line_templates.line_dedup(empty).count() == 0
 
 
 def test_mixing(spark, empty):
-    df = spark.range(4000).selectExpr("id as doc_id", "case when id % 3 = 0 then 'src0' when id % 3 = 1 then 'src1' end as source", "case when id % 2 = 0 then 'en' end as lang", "repeat('word ', cast(id % 300 as int)) as text", "1 as mix_cell")
-    rows = mixing.mixed(df, mixing.Targets(source={"src0": 1, "src1": 1, "other": 1}, lang={"en": 1, "other": 1}, topic={"note": 1, "prose": 1}, keep=0.3)).collect()
-    share = sum(r.mix_tokens for r in rows if r.mix_sampled) / sum(r.mix_tokens for r in rows)
-    assert len(rows) == 4000 and abs(share - 0.3) < 0.05
-    weights = mixing.rake(np.array([[1.0, 3.0], [5.0, 0.5]]), [np.array([0.5, 0.5]), np.array([0.3, 0.7])])
-    assert weights.sum(0) == pytest.approx([0.3, 0.7]) and weights.sum(1) == pytest.approx([0.5, 0.5])
+    df = spark.range(4000).selectExpr("id as doc_id", "case when id % 3 = 0 then 'src0' when id % 3 = 1 then 'src1' end as source", "case when id % 2 = 0 then 'en' end as lang", "repeat('word ', cast(id % 300 as int)) as text", "1 as mix_cell", "2 as mix_note")
+    df = df.unionByName(df.where("doc_id < 50")).unionByName(df.limit(1).selectExpr("null as doc_id", "source", "lang", "null as text", "mix_cell", "mix_note"))
+    targets = mixing.Targets(source={"src0": 2, "src1": 1, "other": 1}, lang={"en": 1, "other": 1}, topic={"note": 1, "prose": 2}, keep=0.3)
+    out = mixing.mixed(df, targets, strict=True)
+    rows = out.collect()
+    taken = sum(r.mix_tokens for r in rows if r.mix_sampled)
+    assert len(rows) == 4051 and abs(taken / sum(r.mix_tokens for r in rows) - 0.3) < 0.02 and out.columns.count("mix_note") == 1
+    assert len({(r.doc_id, r.mix_sampled) for r in rows}) == 4001  # repeated rows share their fate
+    for axis, at in (("source", 0), ("lang", 1), ("topic", 2)):
+        for name, share in targets.axis(axis).items():
+            got = sum(r.mix_tokens for r in rows if r.mix_sampled and r.mix_cell.split("/")[at] == name) / taken
+            assert got == pytest.approx(share / sum(targets.axis(axis).values()), abs=0.04)
+    by = {(r.axis, r.category): r for r in mixing.marginals(df, targets).collect()}
+    assert all(r.expected == pytest.approx(r.target, abs=1e-6) and r.expected == pytest.approx(r.reachable, abs=1e-6) for r in by.values())
+    with pytest.raises(ValueError):
+        mixing.mixed(df, mixing.Targets(source={"src0": 9, "other": 1}, keep=0.9), strict=True)
     assert mixing.mixed(spark.createDataFrame([], "doc_id long, source string, lang string, text string")).count() == 0
 
 
+def test_bounded_raking():
+    """Against a slow projection: chances never exceed 1, free cells scale by one number for each category, reachable marginals are met."""
+    own = np.random.default_rng(2)
+    tokens = own.integers(0, 50, (4, 3, 3)).astype(float)
+    free = mixing.rake(tokens, [np.ones(4), np.array([2.0, 1, 1]), np.array([1.0, 2, 2])], 0.3)
+    for axis, goal in enumerate(([1, 1, 1, 1], [2, 1, 1], [1, 2, 2])):
+        assert free.achieved[axis] == pytest.approx(0.3 * tokens.sum() * np.array(goal) / sum(goal), rel=1e-6)
+    assert free.chance.max() <= 1
+    # one category has a fiftieth of what is asked of it: it is taken whole, the others keep their proportions
+    tokens = np.array([[1.0, 1.0], [100.0, 60.0], [40.0, 98.0]])
+    found = mixing.rake(tokens, [np.array([1.0, 1, 1]), np.array([1.0, 1])], 0.5)
+    assert found.chance[0] == pytest.approx([1, 1]) and found.achieved[0] == pytest.approx([2, 74, 74]) and found.achieved[1] == pytest.approx([75, 75])
+    odds = found.chance[1:, 0] / found.chance[1:, 1]
+    assert odds[0] == pytest.approx(odds[1])
+    assert mixing.rake(np.zeros((2, 2)), [np.ones(2), np.ones(2)], 0.5).chance.shape == (2, 2)
+
+
 def test_toxicity(spark, empty):
     plain = [f"word{i}" for i in range(200)]
     rows = []

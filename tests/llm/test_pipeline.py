@@ -1,13 +1,13 @@
 """Every stage of the pipeline against brute force on the rows that its predecessor kept, and run() against the stages."""
 
 import random
-import re
 
 import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from frameledger.llm import line_templates
+
+from . import plain
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -38,39 +38,6 @@ def rows():
     return [(i, t, "en" if i % 2 else "de", f"s{i % 3}", None if t is None else len(t)) for i, t in out], toxic
 
 
-def near_copies(texts):
-    """doc_id to the smallest one that links of five-word sets at 0.8 reach."""
-    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := re.findall(r"[^\x20\x09-\x0D]+", t or "")) else set() for i, t in texts}
-    root = {i: i for i in sets}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a in sets:
-        for b in sets:
-            both = len(sets[a] & sets[b])
-            if a < b and both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    return {i: find(i) for i in sets}
-
-
-def without_templates(texts):
-    lines = {i: (t or "").split("\n") for i, t in texts}
-    form = lambda line: re.sub(r"\S*[0-9@]\S*|https?:\S+", "<*>", " ".join(line.split()))
-    docs, contexts = {}, {}
-    for i, own in lines.items():
-        forms = [form(x) for x in own]
-        for at, f in enumerate(forms):
-            if f:
-                docs.setdefault(f, set()).add(i)
-                contexts.setdefault(f, set()).add((forms[at - 1] if at else "", forms[at + 1] if at + 1 < len(forms) else ""))
-    drop = {f for f in docs if len(docs[f]) >= line_templates.LEAST_DOCS and len(contexts[f]) >= max(line_templates.LEAST_CONTEXTS, line_templates.LEAST_SHARE * len(docs[f]))}
-    return {i: None if t is None else "\n".join(x for x in lines[i] if form(x) not in drop) for i, t in texts}
-
-
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("corpus"))
@@ -96,10 +63,11 @@ def test_stages_and_run(spark, folder):
     gone = given.keys() - scored.keys()
     assert sum(toxic.get(i, 0) for i in gone) >= 0.95 * sum(toxic.values()) and sum(not toxic.get(i, 0) for i in gone) <= 0.02 * len(given)
     assert all(tuple(r.values()) == given[i] for i, r in scored.items())
-    want = without_templates([(i, r["text"]) for i, r in scored.items()])
+    lines = plain.line_dedup([r["text"] for r in scored.values()])
+    want = {i: None if r["text"] is None else lines[r["text"]][0] for i, r in scored.items()}
     assert {i: r["text"] for i, r in lined.items()} == want and any(want[i] != scored[i]["text"] for i in want)
     assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in lined.values())
-    root = near_copies([(i, r["text"]) for i, r in lined.items()])
+    root = {i: r for i, (_, r) in plain.near_components([(i, r["text"]) for i, r in lined.items()], 5, 80).items()}
     assert single == {i: lined[i] for i in root if root[i] == i} and {1000, 1100} <= single.keys() and not {1001, 1119} & single.keys()
     assert sampled.items() <= single.items() and len(sampled) >= 0.75 * len(single)
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
