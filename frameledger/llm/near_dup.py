@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bound_batches, slices, spread_join
+from .common import Scratch, bound_batches, slices, some, spread_join
 from .components import components
 from .shingles import minhashes, mixed, shingle_sets
 
@@ -209,20 +209,21 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
 
     ids = scratch.write(runs.select("rep").distinct(), "ids")
     asked = ids.select(F.col("rep").alias("doc_id"))
-    asked = F.broadcast(asked) if ids.count() <= MOST_IDS else asked.hint("merge")
-    sets = scratch.write(raw.where("doc_id is not null").join(asked, "doc_id", "left_semi").mapInArrow(lambda it: set_batches(it, forest.width), "rep long, shingles array<long>"), "sets")
+    sets = scratch.write(raw.where("doc_id is not null").join(some(asked, MOST_IDS), "doc_id", "left_semi").mapInArrow(lambda it: set_batches(it, forest.width), "rep long, shingles array<long>"), "sets")
     near = scratch.write(confirmed(neighbours, sets, forest.percent), "near")
     roots = components(near, scratch, "first")
 
     members = scratch.write(runs.where("more").select("region", "rep").distinct().join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("region", "rep", F.coalesce("root", "rep").alias("root")), "members")
     mixed_regions = members.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("region")
-    opened = members.join(mixed_regions, "region", "left_semi").select("rep", "root").distinct()
+    mixed_regions = scratch.write(mixed_regions, "mixed")
+    found = members.join(F.broadcast(mixed_regions), "region", "left_semi") if mixed_regions.count() <= MOST_IDS else spread_join(members, mixed_regions, "region", "left_semi")
+    opened = found.select("rep", "root").distinct()
     open_sets = scratch.write(opened.join(sets, "rep").select("rep", "root", "shingles"), "open")
     if open_sets.limit(1).count():
         further = scratch.write(confirmed(across(open_sets, forest.percent, scratch), sets, forest.percent), "further")
         if further.limit(1).count():
             roots = components(near.unionAll(further), scratch, "second")
-    scratch.drop("runs", "ids", "sets", "members", "open", "tokens")
+    scratch.drop("runs", "ids", "sets", "members", "mixed", "open", "tokens")
 
     named = sound.select("doc_id", "n_shingles", "set_key")
     full = spread_join(named, reps, "set_key", "inner").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
