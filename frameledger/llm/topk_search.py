@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 #: Bytes of quantised queries that are broadcast at once; further queries take further passes.
 MOST_BROADCAST = 32 << 20
 #: Candidates and queries in a tile, and lists that a node of the merge tree joins.
@@ -93,9 +95,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     query has no rows.
 
     Candidates never move: each task offers its rows, tile by tile, to all queries of a pass and sends on
-    k candidates a query at most. The queries of a pass are broadcast and hold no more than MOST_BROADCAST bytes.
+    k candidates a query at most. The queries of a pass are broadcast and hold no more than MOST_BROADCAST bytes; passes
+    run one after the other, each writes its lists and frees its broadcast.
     """
     spark = vectors.sparkSession
+    scratch = Scratch(spark, "topk")
     clean = [x.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))) for x in (vectors, queries)]
     asked = clean[1].groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     size = (asked.agg(F.sum(F.size("embedding").cast("long") * 8 + 16)).first()[0] or 0) * 1.25
@@ -124,7 +128,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 node = np.full(len(row), TaskContext.get().partitionId())
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (top.ids[row], node, top.vec[row, col], top.score[row, col])], names=["query_id", "node", "vec_id", "score"])
 
-        found = clean[0].mapInArrow(offer, "query_id long, node long, vec_id long, score long")
+        found = scratch.write(clean[0].mapInArrow(offer, "query_id long, node long, vec_id long, score long"), f"lists{number}")
+        sent.destroy()
         lists = found if lists is None else lists.unionAll(found)
     # smaller is better, so arrays sort by themselves; bitwise not keeps the order of 64-bit scores
     lists = lists.select("query_id", F.expr("node div 16").alias("node"), F.array(F.struct(F.bitwise_not("score").alias("worse"), "vec_id")).alias("top"))
