@@ -28,6 +28,8 @@ BYTES, GRAM = 24, 4
 JOINED = re.compile("([!-/:-@\\[-`{-~\u200b-\u200d\u2060\ufeff]+)")
 #: Documents of each class at most that the network is fitted on; the choice is by a hash of doc_id.
 MOST_TRAINING = 900
+#: Rounds of training, and passes over the chosen windows in each.
+ROUNDS, PASSES = 4, 4
 THRESHOLD = 0.7
 EDGE = ".,;:!?\"'()[]{}*%$&#-"
 
@@ -37,7 +39,7 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     bare = [w.strip(EDGE).encode() for w in words]
     bucket = np.fromiter(map(zlib.crc32, bare), np.int64, len(bare)) % WORDS
     marked = np.array([b"<" + w + b">" for w in bare], f"S{BYTES}")
-    length = np.char.str_len(marked)
+    length = np.fromiter(map(len, bare), np.int64, len(bare)) + 2
     byte = marked.view(np.uint8).reshape(len(bare), BYTES).astype(np.uint32)
     slots = BYTES - GRAM + 1
     hashed = np.zeros((len(bare), slots), np.uint32)
@@ -191,7 +193,7 @@ def log_odds(index: list[np.ndarray], labels: np.ndarray, size: int) -> np.ndarr
     return np.where(count.sum(0) >= 3, np.log(share[1] / share[0]), 0).astype(np.float32)
 
 
-def train(texts: list[str], labels: list[int], prior: float, rounds: int = 4, seed: int = 7) -> dict[str, np.ndarray]:
+def train(texts: list[str], labels: list[int], prior: float, rounds: int = ROUNDS, seed: int = 7) -> dict[str, np.ndarray]:
     """Parameters of a network fitted on whole texts. prior: share of toxic documents, to which the bias is set."""
     rng = np.random.default_rng(seed)
     y = np.array(labels, np.float32)
@@ -217,7 +219,7 @@ def train(texts: list[str], labels: list[int], prior: float, rounds: int = 4, se
         order = np.lexsort((-score, owner))
         place = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
         chosen = order[place < 2]
-        for _ in range(max(2, min(12, 8000 // max(1, len(chosen))))):  # a small sample is read more often
+        for _ in range(PASSES):
             for batch in np.array_split(rng.permutation(chosen), max(1, len(chosen) // 96)):
                 step += 1
                 own, at = np.unique(all_codes[batch], return_inverse=True)
