@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameledger.llm import line_templates, mixing, near_dup, sentencepiece_codec, toxicity
-from frameledger.llm.common import Scratch, table
+from frameledger.llm.common import Scratch, sweep, table, unused
 from frameledger.llm.queries import tokenizer
 
 #: Share of tokens that the mixture keeps.
@@ -25,20 +25,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines whose template recurs; n_chars follows the text."""
-    out = line_templates.line_dedup(docs).select(*docs.columns)
+    out = line_templates.line_dedup(docs, counts=False)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, with all its columns; five words, similarity 0.8."""
     found = near_dup.near_duplicates(docs, near_dup.Forest(width=5, percent=80, depth=4, trees=30))
-    dropped = found.where("not kept").select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"] == dropped["__dropped"], "left_anti")
+    name = unused("dropped", docs)
+    dropped = found.where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(dropped, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents sampled to the target weights, with all their columns."""
-    return mixing.mixed(docs, mixing.Targets(keep=MIX_KEEP)).where("mix_sampled").select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("whole"), "doc_id", "text", "source", "lang")
+    return mixing.mixed(whole, mixing.Targets(keep=MIX_KEEP)).where("mix_sampled").select("whole.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +56,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = scratch.write(stage(spark, docs, sf_dir), f"stage{i}")
+        sweep(spark, besides=[scratch.root])
         if i:
             scratch.drop(f"stage{i - 1}")
     return docs
