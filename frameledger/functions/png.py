@@ -14,12 +14,16 @@ from frameledger.errors import LedgerError
 #: Fixed values of the format and of the limits.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 MOST_CHUNKS = 65_536
-ONCE = {b"IHDR", b"PLTE", b"IEND", b"cHRM", b"gAMA", b"iCCP", b"sBIT", b"sRGB", b"bKGD", b"tRNS", b"pHYs", b"tIME", b"eXIf", b"cICP", b"mDCV", b"cLLI"}
-REPEATABLE = {b"IDAT", b"tEXt", b"zTXt", b"iTXt", b"vpAg"}
+REPEATABLE = {b"IDAT", b"tEXt", b"zTXt", b"iTXt"}
 BEFORE_IDAT = {b"PLTE", b"cHRM", b"gAMA", b"iCCP", b"sBIT", b"sRGB", b"bKGD", b"tRNS", b"pHYs", b"cICP", b"mDCV", b"cLLI"}
+ONCE = BEFORE_IDAT | {b"IHDR", b"IEND", b"tIME", b"eXIf"}
 ANIMATED = {b"acTL", b"fcTL", b"fdAT"}
 CHANNELS = {2: 3, 6: 4}
 PART = 1 << 20
+#: Bytes that work on an image takes besides its copies; fixed value.
+HEADROOM = 16 << 20
+#: Rows, and bytes of 16-bit samples, that are unfiltered together.
+BAND_ROWS, BAND_BYTES = 512, 32 << 20
 
 
 @dataclass(frozen=True)
@@ -104,15 +108,21 @@ def parse(source: bytes, limits: Limits = Limits()) -> Png:
         seen.add(kind)
         if kind in BEFORE_IDAT and i > data[0]:
             raise bad(f"{kind.decode()} behind the image data")
-        if kind not in ONCE | REPEATABLE:
+        # of other kinds only those may be carried along that are ancillary and safe to copy; they may repeat
+        if kind not in ONCE | REPEATABLE and (kind[:1].isupper() or kind[3:].isupper()):
             raise LedgerError("E_UNSUPPORTED_METADATA", kind.decode())
     stride = width * CHANNELS[color]
     inflated = height * (stride + 1)
-    if max(width, height) > limits.max_edge or width * height > limits.pixels or inflated > limits.inflated_bytes or 3 * len(source) + 3 * inflated > limits.memory_bytes:
+    if max(width, height) > limits.max_edge or width * height > limits.pixels or inflated > limits.inflated_bytes or memory_estimate(len(source), inflated) > limits.memory_bytes:
         raise LedgerError("E_LIMIT_EXCEEDED", "dimensions")
     return Png(width, height, color, tuple(chunks))
 
 
+def memory_estimate(source: int, inflated: int) -> int:
+    """Bytes for three copies of the file, four of its rows, and headroom."""
+    return 3 * source + 4 * inflated + HEADROOM
+
+
 def scanlines(png: Png) -> bytes:
     """Filtered rows: exactly the header's size, one complete stream, filters 0 to 4."""
     want = png.height * (png.stride + 1)
@@ -137,26 +147,50 @@ def paeth(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.where((pa <= pb) & (pa <= pc), a, np.where(pb <= pc, b, c)).astype(np.uint8)
 
 
+def wave(raw: np.ndarray, kinds: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Samples of rows (n, w, channels) below a known row. A sample needs its left, upper and upper left neighbours, so all
+    samples of a diagonal are worked out at once: row j of the table is row j - 1 of the image, moved j places to the right."""
+    n, w, channels = raw.shape
+    table = np.zeros((w + n + 1, n + 1, channels), np.int16)
+    step, item = table.strides[0], table.strides[1]
+    straight = np.lib.stride_tricks.as_strided(table[2:, 1:], (n, w, channels), (step + item, step, table.strides[2]))
+    straight[:] = raw
+    table[1 : w + 1, 0] = above
+    kind = np.concatenate([[0], kinds])[:, None]
+    has = set(kinds.tolist())
+    for t in range(2, w + n + 1):
+        low, high = max(1, t - w), min(n, t - 1) + 1
+        left, up, corner = table[t - 1, low:high], table[t - 1, low - 1 : high - 1], table[t - 2, low - 1 : high - 1]
+        own, guess = kind[low:high], 0
+        if 4 in has:
+            a, b = up - corner, left - corner
+            pa, pb, pc = np.abs(a), np.abs(b), np.abs(a + b)
+            guess = np.where((pa <= pb) & (pa <= pc), left, np.where(pb <= pc, up, corner))
+        if has != {4}:
+            for k, value in ((3, (left + up) >> 1), (2, up), (1, left), (0, 0)):
+                if k in has:
+                    guess = np.where(own == k, value, guess)
+        table[t, low:high] = (table[t, low:high] + guess) & 255
+    return straight.astype(np.uint8)
+
+
 def unfilter(lines: bytes, stride: int, channels: int) -> np.ndarray:
-    """Samples of filtered rows, as (height, stride). Sub is a running sum; Average and Paeth go pixel by pixel."""
+    """Samples of filtered rows, as (height, stride). Rows go one by one up to one of Average or Paeth, then in bands by diagonals."""
     rows = np.frombuffer(lines, np.uint8).reshape(-1, stride + 1)
     out = np.zeros((len(rows), stride), np.uint8)
-    above = np.zeros(stride, np.uint8)
-    for y, (kind, row) in enumerate(zip(rows[:, 0].tolist(), rows[:, 1:], strict=True)):
-        if kind == 0:
-            out[y] = row
-        elif kind == 1:
-            out[y] = np.cumsum(row.reshape(-1, channels), axis=0, dtype=np.uint8).ravel()
-        elif kind == 2:
-            out[y] = row + above
+    above, y, width = np.zeros(stride, np.uint8), 0, stride // channels
+    kinds = rows[:, 0]
+    while y < len(rows):
+        row, kind = rows[y, 1:], int(kinds[y])
+        if kind < 3:
+            out[y] = row if kind == 0 else row + above if kind == 2 else np.cumsum(row.reshape(-1, channels), axis=0, dtype=np.uint8).ravel()
+            y += 1
         else:
-            own, up, raw = out[y].reshape(-1, channels), above.reshape(-1, channels), row.reshape(-1, channels)
-            left = corner = np.zeros(channels, np.uint8)
-            for x in range(len(raw)):
-                guess = ((left.astype(np.uint16) + up[x]) >> 1).astype(np.uint8) if kind == 3 else paeth(left, up[x], corner)
-                own[x] = left = raw[x] + guess
-                corner = up[x]
-        above = out[y]
+            band = max(16, min(BAND_ROWS, BAND_BYTES // ((width + BAND_ROWS) * channels * 2)))
+            own = slice(y, min(len(rows), y + band))
+            out[own] = wave(rows[own, 1:].reshape(-1, width, channels), kinds[own], above.reshape(width, channels)).reshape(-1, stride)
+            y = own.stop
+        above = out[y - 1]
     return out
 
 
@@ -180,11 +214,12 @@ def other_chunks(png: Png) -> bytes:
     return b"".join(struct.pack(">I", len(d)) + k + d for k, d in png.chunks if k != b"IDAT")
 
 
-def meta(png: Png, lines: bytes | None = None) -> dict:
+def meta(png: Png, lines: bytes | None = None, samples: np.ndarray | None = None) -> dict:
+    """Dimensions and the three hashes. Rows and samples are worked out where they aren't given."""
     lines = scanlines(png) if lines is None else lines
+    samples = unfilter(lines, png.stride, png.channels) if samples is None else samples
     return {
-        "width": png.width, "height": png.height, "bit_depth": 8, "color_type": png.color_type, "scanline_sha256": sha(lines), "non_idat_sha256": sha(other_chunks(png)),
-        "pixel_sha256": sha(unfilter(lines, png.stride, png.channels).tobytes()),
+        "width": png.width, "height": png.height, "bit_depth": 8, "color_type": png.color_type, "scanline_sha256": sha(lines), "non_idat_sha256": sha(other_chunks(png)), "pixel_sha256": sha(samples.tobytes()),
     }
 
 
@@ -204,6 +239,8 @@ def repack(source: bytes, level: int = 6, limits: Limits = Limits()) -> tuple[by
     before = meta(png, lines)
     if len(packed) >= len(source):
         return source, False, before
-    if meta(parse(packed, limits)) != before:
+    again = parse(packed, limits)
+    # equal rows under equal dimensions are equal samples
+    if (again.width, again.height, again.color_type) != (png.width, png.height, png.color_type) or scanlines(again) != lines or other_chunks(again) != other_chunks(png):
         raise LedgerError("E_INTEGRITY", "repacked image differs")
     return packed, True, before

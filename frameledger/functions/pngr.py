@@ -58,7 +58,7 @@ def extract(source: bytes, limits: P.Limits = P.Limits()) -> tuple[bytes, np.nda
         else:
             chunks.append((seen, kind, data))
     samples = P.unfilter(lines, png.stride, png.channels).reshape(png.height, png.width, png.channels)
-    return encode(chunks, lines[:: png.stride + 1]), samples, P.meta(png, lines)
+    return encode(chunks, lines[:: png.stride + 1]), samples, P.meta(png, lines, samples)
 
 
 def rebuild(descriptor: bytes, samples: np.ndarray, meta: dict, level: int = 6) -> bytes:
@@ -72,6 +72,8 @@ def rebuild(descriptor: bytes, samples: np.ndarray, meta: dict, level: int = 6)
         raise LedgerError("E_INTEGRITY", "samples")
     lines = P.refilter(samples.reshape(height, width * channels), filters, channels)
     out = P.assemble(kinds, sum(p == 0 for p, _, _ in chunks), lines, level)
-    if P.meta(P.parse(out)) != {k: meta[k] for k in P.meta(P.parse(out))}:
+    # the samples' hash has been checked, and rows determine samples: what is left are the rows and the other chunks
+    png = P.parse(out)
+    if P.scanlines(png) != lines or P.meta(png, lines, samples) != {k: meta[k] for k in ("width", "height", "bit_depth", "color_type", "scanline_sha256", "non_idat_sha256", "pixel_sha256")}:
         raise LedgerError("E_INTEGRITY", "rebuilt image")
     return out

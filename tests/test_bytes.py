@@ -67,6 +67,42 @@ def test_chunks_that_are_refused(kind, code):
     assert error.value.code == code
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", min_size=4, max_size=4), st.integers(1, 3))
+def test_unknown_chunks_by_their_letters(name, times):
+    """Ancillary ones that are safe to copy are carried along, any number of times; others are refused."""
+    kind = name[:2].encode() + name[2].upper().encode() + name[3].encode()
+    if kind in png.ONCE | png.REPEATABLE | png.ANIMATED:
+        return
+    source = picture(np.zeros((2, 2, 3), np.uint8), [0, 4], [(kind, b"x")], [(kind, b"y")] * times)
+    if kind[:1].islower() and kind[3:].islower():
+        descriptor, samples, meta = pngr.extract(source)
+        assert [c[1] for c in pngr.decode(descriptor)[0]].count(kind) == 1 + times and png.read_chunks(pngr.rebuild(descriptor, samples, meta))[1] == (kind, b"x")
+    else:
+        with pytest.raises(LedgerError) as error:
+            png.parse(source)
+        assert error.value.code == "E_UNSUPPORTED_METADATA"
+
+
+@pytest.mark.parametrize("kinds", [[4], [3], [4, 3], [0, 1, 2, 3, 4], [2, 2, 2, 4, 1]])
+def test_bands_of_rows(kinds, monkeypatch):
+    """Images higher than a band, and of one row or column."""
+    monkeypatch.setattr(png, "BAND_BYTES", 1)
+    own = np.random.default_rng(4)
+    for h, w, ch in ((70, 23, 3), (1, 50, 4), (50, 1, 3)):
+        samples = own.integers(0, 256, (h, w * ch), dtype=np.uint8)
+        lines = png.refilter(samples, bytes(kinds[i % len(kinds)] for i in range(h)), ch)
+        assert (png.unfilter(lines, w * ch, ch) == samples).all()
+
+
+def test_memory_estimate():
+    source = picture(np.zeros((8, 8, 4), np.uint8), [0] * 8)
+    need = 3 * len(source) + 4 * 8 * 33 + 16 * 2**20
+    assert png.parse(source, png.Limits(memory_bytes=need)).width == 8
+    with pytest.raises(LedgerError):
+        png.parse(source, png.Limits(memory_bytes=need - 1))
+
+
 def test_limits():
     source = picture(np.zeros((8, 8, 4), np.uint8), [0] * 8)
     for limit in ({"source_bytes": 10}, {"max_edge": 4}, {"pixels": 63}, {"inflated_bytes": 5}, {"memory_bytes": 1024}):
