@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,6 +111,19 @@ def slices(batch, columns: list[str], most_bytes: int = 4 << 20):
         start += step
 
 
+def frugal(batches: Iterator) -> Iterator:
+    """The batches of a Python step; behind the last one its worker, which lives on, gives its unused memory back."""
+    try:
+        yield from batches
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+
 def digest(text: Column) -> Column:
     """Lowercase hex SHA-256 of a string's UTF-8 bytes."""
     return F.sha2(text.cast("binary"), 256)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bound_batches, slices, some, spread_join
+from .common import Scratch, bound_batches, frugal, slices, some, spread_join
 from .components import components
 from .shingles import minhashes, mixed, shingle_sets
 
@@ -168,7 +168,7 @@ def across(open_sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     counts[got.column("bucket").to_numpy()] = got.column("count").to_numpy()
     sent = open_sets.sparkSession.sparkContext.broadcast(counts)
     tokens = scratch.write(
-        open_sets.select("rep", "root", "shingles").mapInArrow(lambda it: prefix_batches(it, percent, sent.value), "token long, rep long, root long, n long, place long, shows boolean"), "tokens"
+        open_sets.select("rep", "root", "shingles").mapInArrow(lambda it: frugal(prefix_batches(it, percent, sent.value)), "token long, rep long, root long, n long, place long, shows boolean"), "tokens"
     )
     x, y = tokens.where("shows").alias("x"), tokens.alias("y")
 
@@ -198,18 +198,18 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     bound_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    sketches = scratch.write(raw.mapInArrow(lambda it: sketch_batches(it, forest), "doc_id long, n_shingles long, set_key binary, sketch binary"), "sketches")
+    sketches = scratch.write(raw.mapInArrow(lambda it: frugal(sketch_batches(it, forest)), "doc_id long, n_shingles long, set_key binary, sketch binary"), "sketches")
     sound = sketches.where("doc_id is not null and n_shingles > 0")
     reps = scratch.write(sound.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "reps")
 
     chosen = sound.select(F.col("doc_id").alias("rep"), "sketch").join(reps.select("rep"), "rep", "left_semi")
     sorted_orders = orders(chosen, forest).repartitionByRange(parts, "place", "rep").sortWithinPartitions("place", "rep")
-    runs = scratch.write(sorted_orders.mapInArrow(lambda it: run_batches(it, forest.depth), "region long, rep long, previous long, more boolean"), "runs")
+    runs = scratch.write(sorted_orders.mapInArrow(lambda it: frugal(run_batches(it, forest.depth)), "region long, rep long, previous long, more boolean"), "runs")
     neighbours = runs.where("previous is not null").select(F.least("previous", "rep").alias("a"), F.greatest("previous", "rep").alias("b")).where("a <> b").distinct()
 
     ids = scratch.write(runs.select("rep").distinct(), "ids")
     asked = ids.select(F.col("rep").alias("doc_id"))
-    sets = scratch.write(raw.where("doc_id is not null").join(some(asked, MOST_IDS), "doc_id", "left_semi").mapInArrow(lambda it: set_batches(it, forest.width), "rep long, shingles array<long>"), "sets")
+    sets = scratch.write(raw.where("doc_id is not null").join(some(asked, MOST_IDS), "doc_id", "left_semi").mapInArrow(lambda it: frugal(set_batches(it, forest.width)), "rep long, shingles array<long>"), "sets")
     near = scratch.write(confirmed(neighbours, sets, forest.percent), "near")
     roots = components(near, scratch, "first")
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import bound_batches, frugal, slices
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
@@ -28,7 +28,7 @@ CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 class ChunkTable:
     """Distinct marked chunks, their ids and what they decode to. It starts anew beyond most_chars."""
 
-    def __init__(self, model_path: str, most_chars: int = 48 << 20):
+    def __init__(self, model_path: str, most_chars: int = 16 << 20):
         import sentencepiece
 
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
@@ -125,6 +125,7 @@ def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
     decoded text. Repeated rows each give a row; a null doc_id stays null; an empty table gives no rows.
     model_path must be readable at every executor. There is no shuffle.
     """
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(
-        lambda batches: encode_batches(batches, model_path), "doc_id long, ids array<int>, decoded string"
+        lambda batches: frugal(encode_batches(batches, model_path)), "doc_id long, ids array<int>, decoded string"
     )

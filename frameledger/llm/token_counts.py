@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import bound_batches, frugal, slices
 
 #: White space as Unicode has it. str.split() has four controls more.
 SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -105,7 +105,7 @@ class MergeTable:
 class CountTable:
     """Token counts of distinct chunks. It starts anew beyond most_chars."""
 
-    def __init__(self, path: str, most_chars: int = 48 << 20):
+    def __init__(self, path: str, most_chars: int = 24 << 20):
         self.merges, self.most_chars = MergeTable(path), most_chars
         self.clear()
 
@@ -156,7 +156,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     tokens. Repeated rows each give a row; a null doc_id stays null; an empty table gives no rows.
     tokenizer_path must be readable at every executor. There is no shuffle.
     """
+    bound_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes")).mapInArrow(
-        lambda batches: count_batches(batches, tokenizer_path), "doc_id long, n_bytes long, n_tokens long"
+        lambda batches: frugal(count_batches(batches, tokenizer_path)), "doc_id long, n_bytes long, n_tokens long"
     )

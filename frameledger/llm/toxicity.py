@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from .common import bound_batches, frugal
+
 #: Words in a window, step between windows, sizes of the hashed tables, of a vector and of the state.
 LENGTH, STRIDE = 32, 16
 WORDS, GRAMS, DIM, STATE = 1 << 13, 1 << 13, 8, 8
@@ -254,7 +256,7 @@ def train(texts: list[str], labels: list[int], prior: float, rounds: int = ROUND
 class Scorer:
     """Scores texts; the projections of distinct words are kept up to a bound."""
 
-    def __init__(self, parameters: dict[str, np.ndarray], most: int = 150_000):
+    def __init__(self, parameters: dict[str, np.ndarray], most: int = 80_000):
         self.p, self.most = parameters, most
         self.clear()
 
@@ -269,7 +271,7 @@ class Scorer:
         pieces = [windows(c) for c in self.vocabulary.codes(texts)]
         known = len(self.vocabulary.bucket)
         if known > self.projected.shape[1]:
-            wider = np.zeros((2, 2 * known, 3 * STATE), np.float32)
+            wider = np.zeros((2, known + known // 4, 3 * STATE), np.float32)
             wider[:, : self.done] = self.projected[:, : self.done]
             self.projected = wider
         if known > self.done:
@@ -316,14 +318,19 @@ def scorer(docs: DataFrame, labels: DataFrame):
         return lambda text: F.lit(model)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @arrow_udf("double")
-    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    bound_batches(docs.sparkSession)
+
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Scorer(sent.value)
         for texts in batches:
             step = max(1, int(len(texts) * (2 << 20) / max(1, texts.nbytes)))
             parts = [own.score(texts.slice(i, step).to_pylist()) for i in range(0, len(texts), step)]
             yield pa.array(np.concatenate(parts) if parts else [], pa.float64())
 
+    @arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from frugal(scored(batches))
+
     return lambda text: score(F.coalesce(text, F.lit("")))
 
 
