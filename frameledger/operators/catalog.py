@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocks
+
 #: Limits of metadata in UTF-8 bytes, and of tags; fixed values.
 LIMITS = {"run": 128, "stream": 128, "label": 256, "note": 2048, "tag": 64, "tags": 16}
 PAGE_BYTES = 16 * 1024 - 64
@@ -44,31 +46,27 @@ def frame(rows: DataFrame, run: str, stream: str, frame_no: int) -> DataFrame:
 def previous_frame(images: DataFrame) -> DataFrame:
     """Each image beside the frame before it in its run and stream, if that number exists.
 
-    Images outside any run stay out of the window, where they would form one partition."""
-    w = Window.partitionBy("run", "stream").orderBy("frame_no")
-    before = F.lag(F.struct("frame_no", "image_id", "pixel_sha256")).over(w)
-    near = F.col("before.frame_no") == F.col("frame_no") - 1
-    out = images.where("run is not null").withColumn("before", before).select(
-        "seq", "image_id", "run", "stream", "frame_no", F.when(near, F.col("before.image_id")).alias("previous_image_id"),
-        F.when(near, F.col("before.pixel_sha256") == F.col("pixel_sha256")).alias("same_pixels"),
-    )
-    alone = images.where("run is null").select("seq", "image_id", "run", "stream", "frame_no", F.lit(None).cast("string").alias("previous_image_id"), F.lit(None).cast("boolean").alias("same_pixels"))
-    return out.unionAll(alone)
+    An equi-join on the frame number, so a camera with any share of the frames is spread over tasks."""
+    before = images.where("run is not null").select(
+        F.col("run").alias("__run"), F.col("stream").alias("__stream"), (F.col("frame_no") + 1).alias("__next"), F.col("image_id").alias("previous_image_id"), F.col("pixel_sha256").alias("__pixels"),
+    )
+    same = (F.col("run") == F.col("__run")) & (F.col("stream") == F.col("__stream")) & (F.col("frame_no") == F.col("__next"))
+    return images.join(before, same, "left").select("seq", "image_id", "run", "stream", "frame_no", "previous_image_id", (F.col("__pixels") == F.col("pixel_sha256")).alias("same_pixels"))
 
 
 def allocate_frames(batch: DataFrame, existing: DataFrame, order: str = "seq") -> DataFrame:
-    """Frame numbers of a batch: dense and zero-based in each run and stream, behind those that exist. No run, no number."""
+    """Frame numbers of a batch: dense and zero-based in each run and stream, behind those that exist. No run, no number.
+
+    order is a distinct whole number in each row."""
     base = existing.where("run is not null").groupBy("run", "stream").agg((F.max("frame_no") + 1).alias("base"))
-    place = F.row_number().over(Window.partitionBy("run", "stream").orderBy(order)).cast("long") - 1
-    numbered = batch.where("run is not null").withColumn("place", place).join(base, ["run", "stream"], "left")
-    numbered = numbered.withColumn("new_frame_no", F.col("place") + F.coalesce("base", F.lit(0))).drop("place", "base")
-    return numbered.unionByName(batch.where("run is null").withColumn("new_frame_no", F.lit(None).cast("long")))
+    inside = blocks.numbered(batch.where("run is not null"), ["run", "stream"], order, "place").join(base, ["run", "stream"], "left")
+    inside = inside.withColumn("new_frame_no", F.col("place") + F.coalesce("base", F.lit(0))).drop("place", "base")
+    return inside.unionByName(batch.where("run is null").withColumn("new_frame_no", F.lit(None).cast("long")))
 
 
 def backfill_frames(images: DataFrame) -> DataFrame:
     """Frame numbers for images of the first schema, which knows runs but no streams."""
-    place = F.row_number().over(Window.partitionBy("run").orderBy("seq")).cast("long") - 1
-    inside = images.where("run is not null").withColumn("stream", F.lit("default")).withColumn("frame_no", place)
+    inside = blocks.numbered(images.where("run is not null"), ["run"], "seq", "frame_no").withColumn("stream", F.lit("default"))
     return inside.unionByName(images.where("run is null").withColumn("stream", F.lit(None).cast("string")).withColumn("frame_no", F.lit(None).cast("long")))
 
 
@@ -116,3 +114,16 @@ def info(images: DataFrame, representations: DataFrame, objects: DataFrame, loca
         F.when(own, F.col("png_bytes")).otherwise(F.col("segment_bytes")).cast("long").alias("stored_bytes"),
         F.when(own, F.lit(1)).otherwise(F.col("frame_count")).cast("long").alias("shared_image_count"),
     )
+
+
+def info_page(page: DataFrame, log: DataFrame, objects: DataFrame, locations: DataFrame, segments: DataFrame) -> DataFrame:
+    """info of a bounded page, from the representation log itself: its ids cut every relation first, so that nothing is
+    aggregated or joined but what the page needs."""
+    from .packing import active
+
+    ids = F.broadcast(page.select("image_id"))
+    now = active(log.join(ids, "image_id", "left_semi"))
+    placed = locations.join(ids, "image_id", "left_semi")
+    parts = segments.join(F.broadcast(placed.select("segment_id").distinct()), "segment_id", "left_semi")
+    own = objects.join(F.broadcast(now.where("png_sha is not null").select(F.col("png_sha").alias("sha256"))), "sha256", "left_semi")
+    return info(page, now, own, placed, parts)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocks
+
 SHAPE = ("width", "height", "bit_depth", "color_type")
 
 
@@ -20,18 +22,11 @@ def candidates(images: DataFrame, representations: DataFrame, objects: DataFrame
 def groups(rows: DataFrame, size: int) -> DataFrame:
     """rows with isl and part: runs of frames without gap and of one shape, cut into groups of size frames.
 
-    One exchange on (run, stream) serves all windows.
+    Windows run over blocks of frame numbers, so a camera with any share of the frames is spread over tasks.
     """
     shape = [c for c in SHAPE if c in rows.columns]
-    w = Window.partitionBy("run", "stream").orderBy("frame_no")
-    now, before = F.struct("frame_no", *shape), F.lag(F.struct("frame_no", *shape)).over(w)
-    marked = rows.where("run is not null").withColumn("now", now).withColumn("before", before)
-    same = (F.col("now.frame_no") == F.col("before.frame_no") + 1) & F.lit(True)
-    for c in shape:
-        same = same & F.col(f"now.{c}").eqNullSafe(F.col(f"before.{c}"))
-    marked = marked.withColumn("isl", F.sum(F.when(same, 0).otherwise(1)).over(w).cast("long")).drop("now", "before")
-    place = F.row_number().over(Window.partitionBy("run", "stream", "isl").orderBy("frame_no")) - 1
-    return marked.withColumn("part", F.floor(place / size).cast("long"))
+    out = blocks.islands(rows.where("run is not null"), ["run", "stream"], "frame_no", shape)
+    return out.withColumn("part", F.floor((F.col("frame_no") - F.col("start")) / size).cast("long")).drop("start")
 
 
 def plan(grouped: DataFrame) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from frameledger.operators import packing
+from frameledger.operators import blocks, packing
+from frameledger.sources.shared import held
 
 GROUP = 8
 
@@ -15,15 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as observations. Every tenth user is outside any run. run and stream are named before the window, so later windows reuse its exchange."""
+    """Events as observations. Every tenth user is outside any run."""
     grouped = F.col("user_id") % 10 != 0
     rows = table(spark, sf_dir, "events").select(
         (F.col("event_id") + 1).alias("seq"), F.concat(F.lit("img-"), F.col("event_id").cast("string")).alias("image_id"),
         F.when(grouped, F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("run"), F.when(grouped, F.col("event_type")).alias("stream"),
         (F.floor("value").cast("long") % 3 + 1).alias("width"), F.sha2("props", 256).alias("pixel_sha256"),
     )
-    place = F.row_number().over(Window.partitionBy("run", "stream").orderBy("seq")).cast("long") - 1
-    return rows.withColumn("frame_no", F.when(F.col("run").isNotNull(), place)).select("seq", "image_id", "run", "stream", "frame_no", "width", "pixel_sha256")
+    columns = ["seq", "image_id", "run", "stream", "frame_no", "width", "pixel_sha256"]
+    inside = blocks.numbered(rows.where("run is not null"), ["run", "stream"], "seq", "frame_no")
+    return inside.select(*columns).unionAll(rows.where("run is null").withColumn("frame_no", F.lit(None).cast("long")).select(*columns))
 
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,17 +52,43 @@ def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("candidate_bytes", size)
 
 
-def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Representation log: every image's PNG, and the segment of those that were packed."""
-    rows = grouped(spark, sf_dir)
-    second = packing.members(rows, packing.plan(rows)).select("image_id", F.lit(2).alias("representation_version"), F.lit("temporal_segment").alias("representation_kind"), F.lit(None).cast("string").alias("png_sha"), "segment_id")
-    return stored(spark, sf_dir).drop("png_bytes").unionByName(second)
+@dataclass(frozen=True)
+class Packed:
+    """What packing the images gives: written once, as several relations come of it."""
+
+    spark: SparkSession
+    sf_dir: str
+    rows: DataFrame
+    plan: DataFrame
+
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> Packed:
+        rows = held(grouped(spark, sf_dir))
+        return cls(spark, sf_dir, rows, held(packing.plan(rows)))
+
+    @cached_property
+    def members(self) -> DataFrame:
+        return held(packing.members(self.rows, self.plan))
+
+    @cached_property
+    def log(self) -> DataFrame:
+        """Representation log: every image's PNG, and the segment of those that were packed."""
+        second = self.members.select("image_id", F.lit(2).alias("representation_version"), F.lit("temporal_segment").alias("representation_kind"), F.lit(None).cast("string").alias("png_sha"), "segment_id")
+        return stored(self.spark, self.sf_dir).drop("png_bytes").unionByName(second)
+
+    @cached_property
+    def active(self) -> DataFrame:
+        return held(packing.active(self.log))
 
+    @cached_property
+    def retired(self) -> DataFrame:
+        seq = F.substring("image_id", 5, 20).cast("long") + 1
+        state = F.when(seq % 7 == 0, "deleted").when(seq % 5 == 0, "pending").otherwise("retained")
+        return packing.retired(self.log).withColumn("prune_state", state)
 
-def retired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seq = F.substring("image_id", 5, 20).cast("long") + 1
-    state = F.when(seq % 7 == 0, "deleted").when(seq % 5 == 0, "pending").otherwise("retained")
-    return packing.retired(log(spark, sf_dir)).withColumn("prune_state", state)
+    @cached_property
+    def segments(self) -> DataFrame:
+        return self.members.groupBy("segment_id").agg(F.max("frame_count").alias("frame_count"), F.max("segment_bytes").alias("segment_bytes"))
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:

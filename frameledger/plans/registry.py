@@ -56,19 +56,14 @@ def high_water(spark, d) -> DataFrame:
 
 @query("select p.seq, p.image_id, a.representation_kind, cast(case when a.representation_kind='png' then o.byte_length else m.segment_bytes end as bigint) as stored_bytes from (select * from images order by seq desc limit 21) p join active a using (image_id) left join objects o on o.sha256=a.png_sha left join members m on m.image_id=p.image_id")
 def list_stored_bytes(spark, d) -> DataFrame:
-    return info_of(spark, d, catalog.page(A.images(spark, d), 20)).select("seq", "image_id", "representation_kind", "stored_bytes")
-
-
-def info_of(spark, d, images: DataFrame) -> DataFrame:
-    rows = A.grouped(spark, d)
-    members = packing.members(rows, packing.plan(rows))
-    segments = members.groupBy("segment_id").agg(F.max("frame_count").alias("frame_count"), F.max("segment_bytes").alias("segment_bytes"))
-    return catalog.info(images, packing.active(A.log(spark, d)), A.objects(spark, d), members.select("image_id", "segment_id", "frame_index"), segments)
+    made = A.Packed.of(spark, d)
+    return catalog.info_page(catalog.page(A.images(spark, d), 20), made.log, A.objects(spark, d), made.members.select("image_id", "segment_id", "frame_index"), made.segments).select("seq", "image_id", "representation_kind", "stored_bytes")
 
 
 @query("select i.seq, i.image_id, i.run, i.stream, i.frame_no, a.representation_kind, a.representation_version, a.segment_id, m.frame_index, cast(case when a.representation_kind='png' then o.byte_length else m.segment_bytes end as bigint) as stored_bytes, cast(case when a.representation_kind='png' then 1 else m.frame_count end as bigint) as shared_image_count from images i join active a using (image_id) left join objects o on o.sha256=a.png_sha left join members m on m.image_id=i.image_id")
 def info_record(spark, d) -> DataFrame:
-    return info_of(spark, d, A.images(spark, d))
+    made = A.Packed.of(spark, d)
+    return catalog.info(A.images(spark, d), made.active, A.objects(spark, d), made.members.select("image_id", "segment_id", "frame_index"), made.segments)
 
 
 @query("select seq, image_id, running_bytes from (select seq, image_id, cast(sum(length(image_id)*20) over (order by seq desc) as bigint) as running_bytes from (select * from images order by seq desc limit 101) p) q where running_bytes <= 16320")
@@ -215,8 +210,7 @@ def pack_report(spark, d) -> DataFrame:
 
 
 def members_of(spark, d) -> DataFrame:
-    rows = A.grouped(spark, d)
-    return packing.members(rows, packing.plan(rows))
+    return A.Packed.of(spark, d).members
 
 
 @query("select segment_id, string_agg(image_id, ',' order by frame_index) as images from members group by 1")
@@ -232,12 +226,12 @@ def segment_homogeneity(spark, d) -> DataFrame:
 
 @query("select image_id, representation_version, representation_kind, png_sha, segment_id from active")
 def repr_active(spark, d) -> DataFrame:
-    return packing.active(A.log(spark, d))
+    return packing.active(A.Packed.of(spark, d).log)
 
 
 @query("select image_id, png_sha, representation_version, replacement_version, prune_state from retired")
 def repr_retired(spark, d) -> DataFrame:
-    return A.retired(spark, d).select("image_id", "png_sha", "representation_version", "replacement_version", "prune_state")
+    return A.Packed.of(spark, d).retired.select("image_id", "png_sha", "representation_version", "replacement_version", "prune_state")
 
 
 @query("select segment_id, bool_or(seq%11=0) as moved from members group by 1")
@@ -250,8 +244,9 @@ def pack_activation(spark, d) -> DataFrame:
 # capacity, pruning, verification
 
 
-def refs(spark, d) -> DataFrame:
-    return pruning.live_refs((packing.active(A.log(spark, d)), "png_sha", "active"), (A.sources(spark, d), "source_sha", "source"))
+def refs(spark, d, made: A.Packed | None = None) -> DataFrame:
+    made = made or A.Packed.of(spark, d)
+    return pruning.live_refs((made.active, "png_sha", "active"), (A.sources(spark, d), "source_sha", "source"))
 
 
 @query("select cast(coalesce(sum(byte_length),0) as bigint) as bytes, cast(count(*) as bigint) as objects from objects where sha256 in (select png_sha from active where png_sha is not null)")
@@ -264,23 +259,25 @@ def cap_source(spark, d) -> DataFrame:
     return pruning.capacity(A.objects(spark, d), refs(spark, d).where("role = 'source'"))
 
 
-def prunable(spark, d) -> DataFrame:
-    return pruning.candidates(A.retired(spark, d), A.objects(spark, d), refs(spark, d))
+def prunable(spark, d, made: A.Packed) -> DataFrame:
+    return pruning.candidates(made.retired, A.objects(spark, d), refs(spark, d, made))
 
 
 @query("select sha256, byte_length from prunable")
 def prune_candidates(spark, d) -> DataFrame:
-    return prunable(spark, d)
+    return prunable(spark, d, A.Packed.of(spark, d))
 
 
 @query("select sha256, total, covered from coverage")
 def prune_coverage(spark, d) -> DataFrame:
-    return pruning.coverage(A.retired(spark, d), packing.active(A.log(spark, d)))
+    made = A.Packed.of(spark, d)
+    return pruning.coverage(made.retired, made.active)
 
 
 @query("select cast(count(*) filter (total=covered) as bigint) as reclaimable_objects, cast(coalesce(sum(byte_length) filter (total=covered),0) as bigint) as reclaimable_bytes, cast(count(*) filter (total<>covered) as bigint) as held_objects, count(*) filter (total=covered)>10000 as over_limit from prunable join coverage using (sha256)")
 def prune_report(spark, d) -> DataFrame:
-    return pruning.report(prunable(spark, d), pruning.coverage(A.retired(spark, d), packing.active(A.log(spark, d))), 10_000)
+    made = A.Packed.of(spark, d)
+    return pruning.report(prunable(spark, d, made), pruning.coverage(made.retired, made.active), 10_000)
 
 
 @query("select sha256 from objects where sha256 not in (select sha256 from live)")
@@ -295,8 +292,8 @@ def expected_present(spark, d) -> DataFrame:
 
 @query("select cast(null as varchar) as code, cast(null as varchar) as key where false")
 def verify_constraints(spark, d) -> DataFrame:
-    rows = members_of(spark, d)
-    return pruning.constraint_issues(A.images(spark, d), packing.active(A.log(spark, d)), rows.select("image_id", "frame_index", "frame_count"))
+    made = A.Packed.of(spark, d)
+    return pruning.constraint_issues(A.images(spark, d), made.active, made.members.select("image_id", "frame_index", "frame_count"))
 
 
 @query("select sha256(text) as sha256, case when max(doc_id)%10=0 then 'missing' when max(doc_id)%10=1 then 'length' else 'hash' end as issue from documents group by 1 having max(doc_id)%10<3")
