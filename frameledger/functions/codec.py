@@ -46,21 +46,48 @@ def restored(raw: bytes, shape: tuple[int, int, int], before: np.ndarray | None)
     return np.ascontiguousarray(own.transpose(1, 2, 0))
 
 
+def prefers_delta(now: np.ndarray, before: np.ndarray) -> bool:
+    """Whether a frame differs from the one before in fewer bytes than from its own left neighbours."""
+    return np.count_nonzero(now != before) <= np.count_nonzero(now[:, 1:] != now[:, :-1]) + now[:, :1].size
+
+
+class Encoder:
+    """Takes the frames of one stream one after another; only the last one is held."""
+
+    def __init__(self, all_intra: bool = False):
+        self.packets: list[Packet] = []
+        self.before, self.all_intra = None, all_intra
+        if zstandard:
+            stream = zstandard.ZstdCompressor(level=19).compressobj()
+            self.compress = lambda raw: stream.compress(raw) + stream.flush(zstandard.COMPRESSOBJ_FLUSH_BLOCK)
+        else:
+            self.compress = lambda raw: zlib.compress(zlib.compress(raw, 9), 9)
+
+    def push(self, now: np.ndarray) -> None:
+        before = self.before
+        if len(self.packets) == MOST or (before is not None and before.shape != now.shape):
+            raise LedgerError("E_INVALID_ARGUMENT", "frames of a segment")
+        key = before is None or self.all_intra or not prefers_delta(now, before)
+        self.packets.append(Packet(self.compress(predicted(now, None if key else before)), len(self.packets), 1, key))
+        self.before = now
+
+    def finish(self) -> list[Packet]:
+        if len(self.packets) < LEAST:
+            raise LedgerError("E_INVALID_ARGUMENT", "frames of a segment")
+        return self.packets
+
+
 def encode(frames: list[np.ndarray], all_intra: bool = False) -> list[Packet]:
     """Packets of one stream of LEAST to MOST frames of one shape."""
-    if not LEAST <= len(frames) <= MOST or len({f.shape for f in frames}) != 1:
-        raise LedgerError("E_INVALID_ARGUMENT", "frames of a segment")
-    if zstandard:
-        stream = zstandard.ZstdCompressor(level=19).compressobj()
-        push = lambda raw: stream.compress(raw) + stream.flush(zstandard.COMPRESSOBJ_FLUSH_BLOCK)
-    else:
-        push = lambda raw: zlib.compress(zlib.compress(raw, 9), 9)
-    out, before = [], None
-    for i, now in enumerate(frames):
-        key = before is None or all_intra
-        out.append(Packet(push(predicted(now, None if key else before)), i, 1, key))
-        before = now
-    return out
+    out = Encoder(all_intra)
+    for frame in frames:
+        out.push(frame)
+    return out.finish()
+
+
+def payload(packets: list[Packet]) -> int:
+    """Coded bytes of a stream, without its container."""
+    return sum(len(p.data) for p in packets)
 
 
 def decode(packets: list[Packet], shape: tuple[int, int, int]):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 from dataclasses import dataclass
 
@@ -62,3 +63,31 @@ def segment_id(descriptor: bytes, color_sha: str, alpha_sha: str | None, image_i
     """Identity of a segment by its parts, each behind its length."""
     parts = [descriptor, color_sha.encode(), *([alpha_sha.encode()] if alpha_sha else []), *(i.encode() for i in image_ids)]
     return hashlib.sha256(b"".join(struct.pack(">Q", len(p)) + p for p in parts)).hexdigest()
+
+
+#: Pixel layouts by channels, and bytes of a segment's descriptor at most; fixed values.
+LAYOUTS = {3: "rgb8", 4: "rgba8"}
+MOST_DESCRIPTOR = 16 << 10
+
+
+def describe(codec: str, width: int, height: int, frames: int, channels: int) -> str:
+    """The descriptor of a segment: canonical JSON."""
+    return json.dumps({"codec": codec, "frame_count": frames, "height": height, "pixel_layout": LAYOUTS[channels], "width": width}, sort_keys=True, separators=(",", ":"))
+
+
+def sequence(descriptor: str, color: bytes, alpha: bytes | None, most_bytes: int = 128 << 20) -> tuple[dict, list[Packet], list[Packet] | None]:
+    """Descriptor and packets of a stored segment, whose parts must agree with one another."""
+    broken = LedgerError("E_INTEGRITY", "segment descriptor")
+    if len(descriptor.encode()) > MOST_DESCRIPTOR:
+        raise LedgerError("E_LIMIT_EXCEEDED", "segment descriptor")
+    try:
+        body = json.loads(descriptor)
+    except ValueError as error:
+        raise broken from error
+    if not isinstance(body, dict) or set(body) != {"codec", "frame_count", "height", "pixel_layout", "width"} or (body["pixel_layout"] == "rgba8") != (alpha is not None):
+        raise broken
+    streams = [decode(part, most_bytes) if part is not None else None for part in (color, alpha)]
+    for stream in filter(None, streams):
+        if stream[:3] != (body["width"], body["height"], body["frame_count"]) or len(stream[3]) != stream[2]:
+            raise broken
+    return body, streams[0][3], streams[1][3] if streams[1] else None

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from frameledger.functions import canonical, codec, columns, container, png, tokens
 from frameledger.operators import catalog, judgments, packing, pruning
+from frameledger.sources.shared import held
 
 from . import analogs as A
 
@@ -172,13 +173,8 @@ def canonical_json(spark, d) -> DataFrame:
 P = "run, stream, isl, part"
 
 
-@query("select seq, run, stream, frame_no, png_sha, png_bytes from candidates where seq<=5000")
-def pack_candidates(spark, d) -> DataFrame:
-    return packing.candidates(A.images(spark, d), A.stored(spark, d).drop("png_bytes"), A.objects(spark, d), high=5000).select("seq", "run", "stream", "frame_no", "png_sha", "png_bytes")
-
-
 @query("select seq, run, stream, frame_no, png_sha, png_bytes from candidates where seq<=(select coalesce(max(seq),0) from images)")
-def pack_candidates_all(spark, d) -> DataFrame:
+def pack_candidates(spark, d) -> DataFrame:
     """All candidates: the bound is the highest seq, frozen as a pack does."""
     rows = A.images(spark, d)
     return packing.candidates(rows, A.stored(spark, d).drop("png_bytes"), A.objects(spark, d), high=catalog.high_water(rows).first()["high"]).select("seq", "run", "stream", "frame_no", "png_sha", "png_bytes")
@@ -347,22 +343,17 @@ def text_frames(spark, d) -> DataFrame:
     return rows.select(F.concat_ws("-", F.lit("c"), F.col("conv_id").cast("string")).alias("segment_id"), F.col("place").alias("frame_no"), "width", F.lit(1).alias("height"), F.lit(3).alias("channels"), F.unhex(padded).alias("samples"), F.col("samples").alias("text"), F.count(F.lit(1)).over(Window.partitionBy("conv_id")).alias("n"))
 
 
-@query("select 'c-'||conv_id as segment_id, cast(row_number() over (partition by conv_id order by turn)-1 as integer) as frame_index, sha256(text) as text_sha256 from conversations qualify count(*) over (partition by conv_id) between 2 and 128")
-def codec_roundtrip(spark, d) -> DataFrame:
-    frames = text_frames(spark, d).where("n between 2 and 128")
-    out = columns.decode_segments(columns.encode_segments(frames)).join(frames.select("segment_id", F.col("frame_no").cast("int").alias("frame_index"), F.octet_length("text").alias("size")), ["segment_id", "frame_index"])
-    return out.select("segment_id", "frame_index", F.sha2(F.expr("substring(samples, 1, size)"), 256).alias("text_sha256"))
-
-
 @query("""with places as (select *, row_number() over (partition by conv_id order by turn)-1 as place from conversations), parts as (select *, count(*) over (partition by conv_id, place//128) as n from places)
  select 'c-'||conv_id||'-'||(place//128) as segment_id, cast(place%128 as integer) as frame_index, sha256(text) as text_sha256, case when n<2 then 'skipped' else 'coded' end as status from parts""")
-def codec_roundtrip_all(spark, d) -> DataFrame:
+def codec_roundtrip(spark, d) -> DataFrame:
     """All turns: a conversation is cut into parts of 128 frames at most; the turn of a one-turn part is not coded and stays as it is."""
     place = F.col("frame_no")
     frames = text_frames(spark, d).withColumn("segment_id", F.concat_ws("-", "segment_id", F.floor(place / 128).cast("string"))).withColumn("frame_no", place % 128)
-    frames = frames.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("segment_id")))
+    frames = held(frames.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("segment_id"))))
     coded = frames.where("n >= 2")
-    out = columns.decode_segments(columns.encode_segments(coded)).join(coded.select("segment_id", F.col("frame_no").cast("int").alias("frame_index"), F.octet_length("text").alias("size")), ["segment_id", "frame_index"])
+    segments = columns.encode_groups(coded.withColumns({"group_id": F.col("segment_id"), "image_id": F.concat_ws("/", "segment_id", F.col("frame_no").cast("string"))}))
+    out = columns.decode_segments(segments.withColumn("segment_id", F.col("group_id")))
+    out = out.join(coded.select("segment_id", F.col("frame_no").cast("int").alias("frame_index"), F.octet_length("text").alias("size")), ["segment_id", "frame_index"])
     out = out.select("segment_id", "frame_index", F.sha2(F.expr("substring(samples, 1, size)"), 256).alias("text_sha256"), F.lit("coded").alias("status"))
     return out.unionAll(frames.where("n < 2").select("segment_id", F.col("frame_no").cast("int"), F.sha2("text", 256), F.lit("skipped")))
 

@@ -37,9 +37,9 @@ def test_runs(spark, name):
 def test_candidates_beyond_5000(spark):
     con, d = duckdb.connect(), "/root/testdata/sf0.01"
     con.execute(f"create view events as select * from '{d}/events.parquet'")
-    got = frame(registry.QUERIES["pack_candidates_all"](spark, d).toArrow())
+    got = frame(registry.QUERIES["pack_candidates"](spark, d).toArrow())
     assert got["seq"].astype(int).max() > 5000
-    pd.testing.assert_frame_equal(got, frame(con.sql(registry.ORACLES["pack_candidates_all"]).to_arrow_table()))
+    pd.testing.assert_frame_equal(got, frame(con.sql(registry.ORACLES["pack_candidates"]).to_arrow_table()))
 
 
 def test_conversations_of_any_length(spark, tmp_path):
@@ -47,9 +47,9 @@ def test_conversations_of_any_length(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     con = duckdb.connect()
     con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
-    got = registry.QUERIES["codec_roundtrip_all"](spark, str(tmp_path)).toArrow()
+    got = registry.QUERIES["codec_roundtrip"](spark, str(tmp_path)).toArrow()
     assert got.num_rows == len(rows) and sorted(x.as_py() for x, y in zip(got["segment_id"], got["status"], strict=True) if y.as_py() == "skipped") == ["c-2-0", "c-3-1"]
-    pd.testing.assert_frame_equal(frame(got), frame(con.sql(registry.ORACLES["codec_roundtrip_all"]).to_arrow_table()))
+    pd.testing.assert_frame_equal(frame(got), frame(con.sql(registry.ORACLES["codec_roundtrip"]).to_arrow_table()))
 
 
 def plan(df):
