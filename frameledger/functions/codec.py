@@ -48,7 +48,7 @@ def restored(raw: bytes, shape: tuple[int, int, int], before: np.ndarray | None)
 
 def prefers_delta(now: np.ndarray, before: np.ndarray) -> bool:
     """Whether a frame differs from the one before in fewer bytes than from its own left neighbours."""
-    return np.count_nonzero(now != before) <= np.count_nonzero(now[:, 1:] != now[:, :-1]) + now[:, :1].size
+    return np.count_nonzero(now != before) <= np.count_nonzero(now[:, 1:] != now[:, :-1])
 
 
 class Encoder:

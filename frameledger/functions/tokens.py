@@ -10,17 +10,15 @@ import time
 import uuid
 from datetime import UTC, datetime
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
 
 from frameledger.errors import LedgerError
 
 SCHEME = "frame"
 #: Characters of a cursor at most; fixed value.
 MOST_CURSOR = 4096
+SQL_TIME = r"^([0-9]{4}-[0-9]{2}-[0-9]{2})[Tt ]([0-9]{2}:[0-9]{2}:[0-9]{2})(?:\.([0-9]+))?(Z|z|[+-][0-9]{2}:[0-9]{2})$"
 TIME = re.compile(r"(\d{4}-\d\d-\d\d)[Tt ](\d\d:\d\d:\d\d)(?:\.(\d+))?(Z|z|[+-]\d\d:\d\d)")
 
 
@@ -42,21 +40,21 @@ def now() -> str:
     return f"{datetime.fromtimestamp(seconds, UTC):%Y-%m-%dT%H:%M:%S}.{nanos:09d}Z"
 
 
-def utc_or_none(text: str | None) -> str | None:
-    try:
-        return None if text is None else utc_nanos(text)
-    except LedgerError:
-        return None
-
-
-@pandas_udf(StringType())
-def _utc(text: pd.Series) -> pd.Series:
-    return text.map(utc_or_none)
-
-
 def utc(text: Column) -> Column:
-    """utc_nanos of a column, null where it is no time."""
-    return _utc(text)
+    """utc_nanos of a column in built-in functions, null where it is no time; whole seconds count from 1970, so no session zone matters."""
+    part = lambda i: F.regexp_extract(text, SQL_TIME, i)
+    zone = F.when(F.upper(part(4)) == "Z", "+00:00").otherwise(part(4))
+    local = F.try_to_timestamp(F.concat(part(1), F.lit("T"), part(2), F.lit("+00:00")), F.lit("yyyy-MM-dd'T'HH:mm:ssXXX"))
+    sign = F.when(zone.startswith("-"), -1).otherwise(1)
+    hours, minutes = zone.substr(2, 2).try_cast("int"), zone.substr(5, 2).try_cast("int")
+    seconds = F.unix_seconds(local) - sign * (hours * 3600 + minutes * 60)
+    day = F.floor(seconds / 86400).cast("int")
+    rest = (seconds - day.cast("long") * 86400).cast("int")
+    date = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), day), "yyyy-MM-dd")
+    clock = F.concat_ws(":", *[F.lpad((rest / n).cast("int").cast("string") if n == 3600 else ((rest / n).cast("int") % 60).cast("string"), 2, "0") for n in (3600, 60, 1)])
+    nanos = F.rpad(F.substring(part(3), 1, 9), 9, "0")
+    sound = text.rlike(SQL_TIME) & local.isNotNull() & (hours < 24) & (minutes < 60) & date.rlike("^[0-9]{4}-")
+    return F.when(sound, F.concat(date, F.lit("T"), clock, F.lit("."), nanos, F.lit("Z")))
 
 
 def reference(store: str, image_id: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import blocks
 
 #: Limits of metadata in UTF-8 bytes, and of tags; fixed values.
-LIMITS = {"run": 128, "stream": 128, "label": 256, "note": 2048, "tag": 64, "tags": 16}
+LIMITS = {"run": 128, "stream": 128, "label": 256, "note": 2048, "tag": 64, "tags": 16, "escaped": 6000}
 PAGE_BYTES = 16 * 1024 - 64
 
 
@@ -71,10 +71,15 @@ def backfill_frames(images: DataFrame) -> DataFrame:
 
 
 def retries(batch: DataFrame, existing: DataFrame) -> DataFrame:
-    """What a repeated operation_id leads to: 'reuse' on the same fingerprint, else 'conflict'; new ones are 'insert'."""
-    known = existing.where("operation_id is not null").select("operation_id", F.col("fingerprint").alias("known"), F.col("image_id").alias("known_image_id"))
-    outcome = F.when(F.col("known").isNull(), "insert").when(F.col("known") == F.col("fingerprint"), "reuse").otherwise("conflict")
-    return batch.join(known, "operation_id", "left").withColumn("outcome", outcome).drop("known")
+    """What a repeated operation_id leads to: 'reuse' on the same fingerprint, else 'conflict'; new ones are 'insert'.
+
+    Where existing has fingerprint_version and batch fingerprint_v1, operations of the first version are held against that."""
+    versions = "fingerprint_version" in existing.columns
+    older = F.coalesce(F.col("fingerprint_version") == 1, F.lit(False)) if versions else F.lit(False)
+    known = existing.where("operation_id is not null").select("operation_id", F.col("fingerprint").alias("known"), F.col("image_id").alias("known_image_id"), older.alias("older"))
+    own = F.when(F.col("older"), F.col("fingerprint_v1")).otherwise(F.col("fingerprint")) if versions and "fingerprint_v1" in batch.columns else F.col("fingerprint")
+    outcome = F.when(F.col("known").isNull(), "insert").when(F.col("known") == own, "reuse").otherwise("conflict")
+    return batch.join(known, "operation_id", "left").withColumn("outcome", outcome).drop("known", "older")
 
 
 def insert_absent(batch: DataFrame, existing: DataFrame, key: str = "sha256") -> DataFrame:
@@ -89,12 +94,25 @@ def normalise_metadata(rows: DataFrame) -> DataFrame:
     too_long = reduce(lambda a, b: a | b, [F.coalesce(F.octet_length(c) > LIMITS[c], F.lit(False)) for c in ("run", "stream", "label", "note")])
     tags = (F.size("tags") > LIMITS["tags"]) | F.exists("tags", lambda t: (t == "") | (F.octet_length(t) > LIMITS["tag"]))
     invalid = (F.col("stream") == "") | (F.col("run").isNull() & F.col("stream").isNotNull())
-    return rows.withColumn("error", F.when(F.coalesce(invalid, F.lit(False)), "E_INVALID_ARGUMENT").when(too_long | tags, "E_LIMIT_EXCEEDED"))
+    given = F.col("captured_at") if "captured_at" in rows.columns else F.lit(None).cast("string")
+    escaped = F.octet_length(json_array(F.col("run"), F.col("stream"), F.col("label"), F.col("note"), F.col("tags"), given))
+    large = too_long | tags | (escaped > LIMITS["escaped"])
+    return rows.withColumn("error", F.when(F.coalesce(invalid, F.lit(False)), "E_INVALID_ARGUMENT").when(large, "E_LIMIT_EXCEEDED"))
+
+
+def json_array(*fields: Column) -> Column:
+    """The JSON text of an array of fields, null ones included."""
+
+    def one(f: Column) -> Column:
+        text = F.to_json(F.array(f))
+        return F.when(f.isNull(), "null").otherwise(text.substr(F.lit(2), F.length(text) - 2))
+
+    return F.concat(F.lit("["), F.concat_ws(",", *map(one, fields)), F.lit("]"))
 
 
 def fingerprint(*fields: Column) -> Column:
     """SHA-256 of the JSON array of an operation's fields."""
-    return F.sha2(F.concat(F.lit("["), F.concat_ws(",", *[F.coalesce(F.to_json(F.array(f)).substr(F.lit(2), F.length(F.to_json(F.array(f))) - 2), F.lit("null")) for f in fields]), F.lit("]")), 256)
+    return F.sha2(json_array(*fields), 256)
 
 
 def object_path(sha: Column, extension: Column | str) -> Column:

@@ -47,14 +47,26 @@ def plan(grouped: DataFrame) -> DataFrame:
     return out.withColumn("status", status).withColumn("reason", reason).withColumn("segment_id", segment)
 
 
+def decided(planned: DataFrame) -> DataFrame:
+    """A plan's status and reason where groups may have failed (error) or hold no frame that is predicted from another."""
+    skipped = F.col("status") == "skipped"
+    own = ~skipped & F.col("error").isNull() & ~F.coalesce("inter_predicted", F.lit(True))
+    status = F.when(skipped, F.col("status")).when(F.col("error").isNotNull(), "failed").when(own, "not_beneficial").otherwise(F.col("status"))
+    reason = F.when(skipped, F.col("reason")).when(F.col("error").isNotNull(), F.col("error")).when(own, "no_inter_prediction").otherwise(F.col("reason"))
+    return planned.withColumns({"status": status, "reason": reason})
+
+
 def report(planned: DataFrame) -> DataFrame:
     """Totals of a plan."""
-    packed = F.col("status") == "packed"
+    packed, coded = F.col("status") == "packed", ~F.col("status").isin("skipped", "failed")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    count = lambda status: F.count_if(F.col("status") == status).cast("long")
+    images = lambda status: total(F.when(F.col("status") == status, F.col("n")))
     return planned.agg(
-        F.count_if(packed).cast("long").alias("segments_packed"), total(F.when(packed, F.col("n"))).alias("images_packed"), F.count_if(F.col("status") == "not_beneficial").cast("long").alias("not_beneficial"),
-        F.count_if(F.col("status") == "skipped").cast("long").alias("skipped"), total(F.when(packed, F.col("png_distinct_bytes"))).alias("png_bytes"), total(F.when(packed, F.col("candidate_bytes"))).alias("segment_bytes"),
-    )
+        F.count(F.lit(1)).cast("long").alias("groups_considered"), total("n").alias("candidate_images"), count("packed").alias("segments_packed"), images("packed").alias("images_packed"),
+        count("not_beneficial").alias("segments_not_beneficial"), images("not_beneficial").alias("images_not_beneficial"), images("skipped").alias("images_skipped"), count("failed").alias("segments_failed"),
+        total(F.when(coded, F.col("png_distinct_bytes"))).alias("png_distinct_bytes"), total(F.when(coded, F.col("candidate_bytes"))).alias("temporal_candidate_bytes"), total(F.when(packed, F.col("candidate_bytes"))).alias("published_object_bytes"),
+    )
 
 
 def members(grouped: DataFrame, planned: DataFrame) -> DataFrame:
@@ -88,3 +100,15 @@ def decode_memory(width, height, alpha, container_bytes, descriptor_bytes):
     pixels = width.cast("long") * height.cast("long")
     streams, channels = F.when(alpha, 2).otherwise(1), F.when(alpha, 4).otherwise(3)
     return pixels * streams * 36 + pixels * channels * 4 + container_bytes * 2 + descriptor_bytes * 2 + (32 << 20)
+
+
+def decode_bytes(width: int, height: int, alpha: bool, container_bytes: int, descriptor_bytes: int) -> int:
+    """decode_memory of one segment."""
+    pixels = width * height
+    return pixels * (2 if alpha else 1) * 36 + pixels * (4 if alpha else 3) * 4 + container_bytes * 2 + descriptor_bytes * 2 + (32 << 20)
+
+
+def encode_memory(width, height, alpha, png_bytes):
+    """Bytes that coding a group may take: surfaces of the streams, four copies of a frame's samples, three of the largest file, and 32 MiB."""
+    pixels = width.cast("long") * height.cast("long")
+    return pixels * F.when(alpha, 2).otherwise(1) * 36 + pixels * F.when(alpha, 4).otherwise(3) * 4 + png_bytes * 3 + (32 << 20)

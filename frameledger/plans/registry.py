@@ -200,9 +200,18 @@ def pack_decision(spark, d) -> DataFrame:
     return packing.plan(A.grouped(spark, d)).select("segment_id", "n", "candidate_bytes", "png_distinct_bytes", "status", "reason")
 
 
-@query("select cast(count(*) filter (status='packed') as bigint) as segments_packed, cast(coalesce(sum(n) filter (status='packed'),0) as bigint) as images_packed, cast(count(*) filter (status='not_beneficial') as bigint) as not_beneficial, cast(count(*) filter (status='skipped') as bigint) as skipped, cast(coalesce(sum(png_distinct_bytes) filter (status='packed'),0) as bigint) as png_bytes, cast(coalesce(sum(candidate_bytes) filter (status='packed'),0) as bigint) as segment_bytes from plan")
+@query("""select cast(count(*) as bigint) as groups_considered, cast(coalesce(sum(n),0) as bigint) as candidate_images,
+ cast(count(*) filter (status='packed') as bigint) as segments_packed, cast(coalesce(sum(n) filter (status='packed'),0) as bigint) as images_packed,
+ cast(count(*) filter (status='not_beneficial') as bigint) as segments_not_beneficial, cast(coalesce(sum(n) filter (status='not_beneficial'),0) as bigint) as images_not_beneficial,
+ cast(coalesce(sum(n) filter (status='skipped'),0) as bigint) as images_skipped, cast(count(*) filter (status='failed') as bigint) as segments_failed,
+ cast(coalesce(sum(png_distinct_bytes) filter (status not in ('skipped','failed')),0) as bigint) as png_distinct_bytes,
+ cast(coalesce(sum(candidate_bytes) filter (status not in ('skipped','failed')),0) as bigint) as temporal_candidate_bytes,
+ cast(coalesce(sum(candidate_bytes) filter (status='packed'),0) as bigint) as published_object_bytes
+ from (select n, png_distinct_bytes, candidate_bytes, case when n<2 then 'skipped' when isl%13=0 then 'failed' when isl%11=0 then 'not_beneficial' else status end as status from plan) q""")
 def pack_report(spark, d) -> DataFrame:
-    return packing.report(packing.plan(A.grouped(spark, d)))
+    planned = A.Packed.of(spark, d).plan
+    found = planned.withColumns({"error": F.when(F.col("isl") % 13 == 0, "E_INTEGRITY"), "inter_predicted": F.col("isl") % 11 != 0})
+    return packing.report(packing.decided(found))
 
 
 def members_of(spark, d) -> DataFrame:

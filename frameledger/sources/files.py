@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import stat
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,29 @@ def images(spark: SparkSession, path: str, limits: Limits = Limits(), glob: str
     return fits.unionByName(large)
 
 
+def snapshot(path: str, most: int) -> bytes:
+    """The content of one regular file that didn't change while it was read."""
+    handle = os.open(path, os.O_RDONLY | os.O_NONBLOCK)
+    try:
+        before = os.fstat(handle)
+        if not stat.S_ISREG(before.st_mode):
+            raise LedgerError("E_INVALID_ARGUMENT", "not a regular file")
+        if before.st_size > most:
+            raise LedgerError("E_LIMIT_EXCEEDED", "source bytes")
+        parts, size = [], 0
+        while size <= most and (part := os.read(handle, min(1 << 20, most + 1 - size))):
+            parts.append(part)
+            size += len(part)
+        if size > most:
+            raise LedgerError("E_LIMIT_EXCEEDED", "source bytes")
+        same = [(s.st_dev, s.st_ino, s.st_size, s.st_mtime_ns, s.st_ctime_ns) for s in (before, os.fstat(handle), os.stat(path))]
+    finally:
+        os.close(handle)
+    if len(set(same)) > 1 or size != before.st_size:
+        raise LedgerError("E_SOURCE_CHANGED", path)
+    return b"".join(parts)
+
+
 def changed(spark: SparkSession, path: str, seen: DataFrame, glob: str = "*.png") -> DataFrame:
     """Keys of files whose length or time is no longer what the snapshot seen holds (E_SOURCE_CHANGED), those that vanished among them."""
     again = images(spark, path, Limits(source_bytes=2**62), glob).select("key", F.col("length").alias("length2"), F.col("modified").alias("modified2"))

@@ -11,7 +11,7 @@ from frameledger.errors import LedgerError
 from frameledger.functions import png, tokens
 from frameledger.sources import files, ledger
 from frameledger.sources.ledger import Ledger
-from frameledger.streaming.ingest import ingest
+from frameledger.streaming.ingest import ingest, outcomes
 
 
 def picture(i: int, width: int = 64, height: int = 48) -> bytes:
@@ -77,20 +77,115 @@ def test_packed_frames_come_back(packed):
     assert code(store.get, "none") == "E_NOT_FOUND" and code(store.get, out["k00"]["image_id"], "source") == "E_SOURCE_NOT_RETAINED"
 
 
-def test_prune_leaves_what_is_referenced(spark, packed):
+def test_prune_leaves_what_is_referenced(spark, packed, monkeypatch):
     store, out = packed[0], packed[1]
     before = store.version
     found = {r["sha256"] for r in store.prune().collect()}
     assert len(found) == 9  # the image outside any run still holds one of the ten
-    assert {r["sha256"] for r in store.prune(apply=True).collect()} == found
+    assert code(store.prune, True, 8) == "E_LIMIT_EXCEEDED"
+
+    def crash(name):
+        if name == "prune-after-pending":
+            raise OSError
+
+    monkeypatch.setattr(ledger, "fault", crash)
+    with pytest.raises(OSError):
+        store.prune(apply=True)
+    monkeypatch.setattr(ledger, "fault", lambda name: None)
+    store = Ledger.open(spark, store.root)
+    assert {r["prune_state"] for r in store.retired().collect()} == {"pending", "retained"} and store.verify_report()["valid"]
+    done = store.prune(apply=True)  # takes up what was cut off
+    assert {r["sha256"] for r in done.collect()} == found
+    report = store.prune_report(done, before)
+    assert report["pruned_objects"] == 9 and report["physical_object_bytes_before"] - report["physical_object_bytes_after"] == report["reclaimed_bytes"] > 0
     assert store.prune().count() == 0 and store.verify().count() == 0
     assert store.get(out["k10"]["image_id"]) and store.get(out["k03"]["image_id"])
     old = Ledger.open(spark, store.root, before)
     assert old.table("blobs").count() == store.table("blobs").count() + 9
+    assert store.compact() == 1 and store.batches().count() == store.table("blobs").count()
+    assert store.get(out["k03"]["image_id"]) and store.vacuum(age=0) and store.verify_report()["valid"] and code(store.get, "none") == "E_NOT_FOUND"
+    # the same picture comes back after its object was pruned
+    again = store.put(batch(spark, [("again", picture(4), "r2", None)])).first()
+    assert png.meta(png.parse(store.get(again["image_id"]))) == png.meta(png.parse(picture(4)))
 
 
-def test_judgments(spark, packed):
+def test_frames_and_memory(packed):
     store, out = packed[0], packed[1]
+    store = Ledger.open(store.spark, store.root)
+    image, data = store.get_frame("r", 5)
+    assert image == out["k05"]["image_id"] and png.meta(png.parse(data)) == png.meta(png.parse(picture(5)))
+    assert code(store.get_frame, "r", 10) == "E_NOT_FOUND" == code(store.get_frame, "r", 5, "other")
+    assert code(store.get_frame, "r", 5, limits=png.Limits(memory_bytes=1 << 20)) == "E_LIMIT_EXCEEDED"
+    assert store.features(image)["previous_image_id"] == out["k04"]["image_id"] and store.features(image)["same_pixels"] is False
+
+
+def noise(i: int) -> bytes:
+    samples = np.random.default_rng(i).integers(0, 256, (20, 30, 4), dtype=np.uint8)
+    lines = png.refilter(samples.reshape(20, 120), bytes(20), 4)
+    return png.SIGNATURE + png.chunk(b"IHDR", struct.pack(">IIBBBBB", 30, 20, 8, 6, 0, 0, 0)) + png.chunk(b"IDAT", zlib.compress(lines, 9)) + png.chunk(b"IEND", b"")
+
+
+def test_pack_outcomes_limits_and_races(spark, tmp_path, monkeypatch):
+    store = Ledger.init(spark, str(tmp_path / "s"))
+    rows = [(f"a{i}", picture(i), "good", None) for i in range(5)] + [(f"b{i}", noise(i), "noise", None) for i in range(4)] + [(f"c{i}", picture(i, 80), "broken", None) for i in range(4)]
+    ids = {r["key"]: r["image_id"] for r in store.put(batch(spark, rows)).collect()}
+    status = lambda plan: sorted((r["run"], r["n"], r["status"], r["reason"]) for r in plan.collect())
+    assert code(store.pack, size=4, limits=ledger.PackLimits(max_images=12)) == "E_LIMIT_EXCEEDED"
+    for limits in (ledger.PackLimits(descriptor_bytes=10), ledger.PackLimits(segment_bytes=40), ledger.PackLimits(segment_packets=2), ledger.PackLimits(encode_seconds=-1), ledger.PackLimits(image=png.Limits(memory_bytes=32 << 20))):
+        assert {r["reason"] for r in store.pack("good", size=4, limits=limits).collect()} == {"E_LIMIT_EXCEEDED", "insufficient_compatible_frames"}
+    # images that are not what the catalog says fail with their group alone
+    wrong = store.table("images").where("run = 'good' and frame_no < 2").withColumns({"run": F.lit("wrong"), "image_id": F.concat(F.lit("w"), "image_id"), "seq": F.col("seq") + 100, "pixel_sha256": F.lit("0" * 64)})
+    forms = store.table("representations").withColumn("image_id", F.concat(F.lit("w"), "image_id")).join(wrong.select("image_id"), "image_id", "left_semi")
+    store = store.commit(lambda at: {"images": wrong, "representations": forms})
+    dry = store.pack(size=4, dry_run=True)
+    assert status(dry) == [
+        ("broken", 4, "would_pack", "temporal_bytes_smaller_than_distinct_png_bytes"), ("good", 1, "skipped", "insufficient_compatible_frames"), ("good", 4, "would_pack", "temporal_bytes_smaller_than_distinct_png_bytes"),
+        ("noise", 4, "not_beneficial", "no_inter_prediction"), ("wrong", 2, "failed", "E_INTEGRITY"),
+    ]
+    report = ledger.pack_report(dry, True)
+    assert (report["groups_considered"], report["candidate_images"], report["images_skipped"], report["segments_packed"], report["result_count"]) == (5, 15, 1, 0, 5)
+    assert ledger.pack_report(store.pack("absent"))["results"][0]["status"] == "no_op"
+    # one group's images move on while it is coded
+    raced = []
+
+    def other(name):
+        if name == "staged-representations" and not raced:
+            raced.append(1)
+            now = Ledger.open(spark, store.root)
+            one = now.active().where(F.col("image_id") == ids["c2"]).withColumn("representation_version", F.lit(2))
+            monkeypatch.setattr(ledger, "fault", lambda name: None)
+            now.commit(lambda at: {"representations": one})
+
+    monkeypatch.setattr(ledger, "fault", other)
+    plan = store.pack(size=4)
+    assert [r for r in status(plan) if r[0] in ("broken", "good")] == [("broken", 4, "skipped", "concurrent_representation_change"), ("good", 1, "skipped", "insufficient_compatible_frames"), ("good", 4, "packed", "temporal_bytes_smaller_than_distinct_png_bytes")]
+    assert {r["key"] for r in store.verify().collect()} <= {r["png_sha"] for r in forms.collect()}
+    # segments are named by their content
+    segment = store.table("segments").first()
+    members = [r["image_id"] for r in store.table("frame_locations").orderBy("frame_index").collect()]
+    assert segment["segment_id"] == ledger.container_id(segment, members)
+
+
+def test_verify_finds_what_is_planted(spark, tmp_path):
+    store = Ledger.init(spark, str(tmp_path / "s"))
+    ids = {r["key"]: r["image_id"] for r in store.put(batch(spark, [(f"k{i}", picture(i), "r", None) for i in range(4)])).collect()}
+    store.pack(size=2)
+    good = store.verify_report()
+    assert good["valid"] and (good["images_checked"], good["segments_checked"], good["error_count"]) == (4, 2, 0)
+    rows = store.table("images")
+    wrong = rows.where(F.col("image_id") == ids["k1"]).withColumns({"image_id": F.lit("twin"), "pixel_sha256": F.lit("0" * 64), "seq": F.lit(9)})
+    lone = store.table("representations").where(F.col("image_id") == ids["k1"]).where("representation_kind = 'png'").withColumn("image_id", F.lit("twin"))
+    spare = spark.createDataFrame([("ab" * 32, 3, "png", "text/plain", "x", b"abc")], "sha256 string, byte_length long, object_kind string, media_type string, relative_path string, content binary")
+    place = store.table("frame_locations").where(F.col("image_id") == ids["k0"]).withColumn("frame_index", F.lit(7))
+    store.commit(lambda at: {"images": wrong, "representations": lone, "blobs": spare, "frame_locations": place})
+    found = Ledger.open(spark, store.root).verify_report()
+    codes = {r["code"] for r in found["issues"]}
+    assert not found["valid"] and {"duplicate_frame", "E_INTEGRITY", "blob_hash", "blob_path", "unreferenced_candidate", "frame_bounds", "E_INVALID_IMAGE"} <= codes
+    assert found["unreferenced_candidates"] == 1 and found["issue_count"] == found["error_count"] + 1
+
+
+def test_judgments(spark, packed):
+    store, out = Ledger.open(spark, packed[0].root), packed[1]
     image = out["k00"]["image_id"]
     texts = [("a", image, '{"kind":"k","producer":"p","value":{"b":1,"a":2.50},"confidence":0.2}'), ("b", image, '{"kind":"k","producer":"p","value":1,"extra":0}'), ("c", "absent", '{"kind":"k","producer":"p","value":1}'), ("d", image, '{"kind":"k","producer":"p","value":null,"confidence":1.5}'), ("e", image, "[")]
     errors = {r["key"]: r["error"] for r in store.judge(spark.createDataFrame(texts, "key string, image_id string, json string")).collect()}
@@ -137,6 +232,14 @@ def test_stream_is_put_once(spark, tmp_path):
     for mark in ("one", "one", "two"):  # the same checkpoint, and a lost one
         ingest(spark, str(tmp_path / "in"), store.root, str(tmp_path / mark), run="cam").awaitTermination(120)
     assert [r["frame_no"] for r in Ledger.open(spark, store.root).table("images").orderBy("seq").collect()] == [0, 1, 2]
+    assert [r["outcome"] for r in outcomes(spark, str(tmp_path / "one")).collect()] == ["insert"] * 3 and {r["outcome"] for r in outcomes(spark, str(tmp_path / "two")).collect()} == {"reuse"}
+    # a file that changes and keeps its length, and one that is no image
+    for i, content in ((5, picture(7)), (6, b"x")):
+        (tmp_path / "in" / f"{i}.png").write_bytes(content)
+    ingest(spark, str(tmp_path / "in"), store.root, str(tmp_path / "two"), run="cam").awaitTermination(120)
+    (tmp_path / "in" / "5.png").write_bytes(picture(8))
+    ingest(spark, str(tmp_path / "in"), store.root, str(tmp_path / "three"), run="cam").awaitTermination(120)
+    assert Ledger.open(spark, store.root).table("images").count() == 5 and {r["error"] for r in outcomes(spark, str(tmp_path / "two")).where("outcome = 'rejected'").collect()} == {"E_INVALID_IMAGE"}
 
 
 def test_files(spark, tmp_path):
@@ -160,6 +263,20 @@ def test_files(spark, tmp_path):
     assert code(files.report, issues, str(tmp_path / "report")) == "E_OUTPUT_EXISTS"
 
 
+def test_times_in_columns(spark):
+    """The built-in form gives what the plain one does."""
+    texts = ["2026-09-15T12:00:00+09:00", "2026-09-15 12:00:00.1234567899z", "2026-09-15", "2026-13-15T12:00:00Z", "2026-02-30T12:00:00Z", "2026-09-15T24:00:01Z", "2026-09-15T12:00:60Z", "2026-09-15T12:00:00", "0001-01-01T00:00:00-00:01", "9999-12-31T23:59:59.9-00:00", "1969-12-31T23:59:59-23:59", "2026-01-01T00:30:00+01:00", None, ""]
+
+    def plain(text):
+        try:
+            return None if text is None else tokens.utc_nanos(text)
+        except LedgerError:
+            return None
+
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(tokens.utc(F.col("t"))).collect()]
+    assert got == [plain(t) for t in texts]
+
+
 def test_tokens():
     assert tokens.utc_nanos("2026-09-15T12:00:00+09:00") == "2026-09-15T03:00:00.000000000Z"
     assert tokens.utc_nanos("2026-09-15T12:00:00.1234567899Z") == "2026-09-15T12:00:00.123456789Z"
