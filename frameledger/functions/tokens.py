@@ -32,7 +32,7 @@ def utc_nanos(text: str) -> str:
         whole = datetime.fromisoformat(f"{day}T{clock}{'+00:00' if zone in 'Zz' else zone}").astimezone(UTC)
     except (ValueError, OverflowError) as error:
         raise LedgerError("E_INVALID_ARGUMENT", "time") from error
-    return f"{whole:%Y-%m-%dT%H:%M:%S}.{(part or '')[:9]:0<9}Z"
+    return f"{whole.isoformat()[:19]}.{(part or '')[:9]:0<9}Z"
 
 
 def now() -> str:
