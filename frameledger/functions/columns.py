@@ -8,7 +8,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from frameledger.errors import LedgerError
 
@@ -40,6 +41,15 @@ def per_row(df: DataFrame, schema: str, work, together: int = 64) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def limit_error(source: Column, width: Column, height: Column, channels: Column, limits: png.Limits = png.Limits()) -> Column:
+    """E_LIMIT_EXCEEDED where an image of that size would be refused, before any of it is read."""
+    w, h = width.cast("decimal(20,0)"), height.cast("decimal(20,0)")
+    inflated = h * (w * channels.cast("decimal(2,0)") + 1)
+    memory = source.cast("decimal(20,0)") * 3 + inflated * 4 + png.HEADROOM
+    large = (source > limits.source_bytes) | (F.greatest(w, h) > limits.max_edge) | (w * h > limits.pixels) | (inflated > limits.inflated_bytes) | (memory > limits.memory_bytes)
+    return F.when(large, "E_LIMIT_EXCEEDED")
+
+
 def png_meta(df: DataFrame, limits: png.Limits = png.Limits()) -> DataFrame:
     """df(key string, content binary) to key, error and the image's meta data."""
 

@@ -98,3 +98,19 @@ def decode_cursor(text: str, store: str, query: dict) -> tuple[int, int]:
     if (body["version"], body["store"], body["query"]) != (1, store, query) or type(high) is not int or type(last) is not int or not 0 < last <= high:
         raise refused
     return high, last
+
+
+def parsed_reference(text: Column, store: str) -> Column:
+    """parse_reference of a column: a struct of image_id and error."""
+    inside = text.startswith(f"{SCHEME}://")
+    parts = F.split(F.substring(text, len(SCHEME) + 4, 1 << 30), "/")
+    form = ~inside | ((F.size(parts) == 3) & (F.get(parts, F.lit(1)) == "images"))
+    bare = F.lower(F.when(inside, F.get(parts, F.lit(2))).otherwise(text))
+    error = F.when(~form, "E_INVALID_ARGUMENT").when(inside & (F.get(parts, F.lit(0)) != store), "E_STORE_MISMATCH").when(~F.coalesce(bare.rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), F.lit(False)), "E_INVALID_ARGUMENT")
+    return F.struct(F.when(error.isNull(), bare).alias("image_id"), error.alias("error"))
+
+
+def cursor(store: str, query: Column, high: Column, last: Column) -> Column:
+    """encode_cursor of columns; query is JSON text."""
+    body = F.concat(F.lit('{"last":'), last.cast("string"), F.lit(',"max":'), high.cast("string"), F.lit(',"query":'), query, F.lit(f',"store":{json.dumps(store)},"version":1}}'))
+    return F.rtrim(F.translate(F.base64(body.cast("binary")), "+/\r\n", "-_"), F.lit("="))

@@ -6,6 +6,8 @@ add comes from one row a block. So a key that holds any share of all rows is spr
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,3 +58,17 @@ def islands(rows: DataFrame, keys: list[str], order: str, same: list[str], size:
     out = marked.join(ends, [*keys, "__block"])
     out = out.withColumn("isl", (F.col("__base") + F.col("__count")).cast("long")).withColumn("start", F.coalesce("__start", "__since"))
     return out.drop("__now", "__break", "__count", "__start", "__base", "__since", "__block")
+
+
+def ranked(rows: DataFrame, order: str, base: int, held: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """rows with seq, dense behind base in the order of a column. Partitions are sorted ranges; only their counts meet on the driver.
+
+    held writes a table and reads it again, so that ranges are drawn once."""
+    ranged = rows.repartitionByRange(order).sortWithinPartitions(order)
+    ranged = held(ranged.withColumns({"__part": F.spark_partition_id(), "__place": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}))
+    starts, total = [], base + 1
+    for part, n in sorted(ranged.groupBy("__part").count().collect()):
+        starts.append((part, total))
+        total += n
+    offsets = rows.sparkSession.createDataFrame(starts, "__part int, __start long")
+    return ranged.join(F.broadcast(offsets), "__part").withColumn("seq", F.col("__start") + F.col("__place")).drop("__part", "__place", "__start")

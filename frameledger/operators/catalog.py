@@ -32,6 +32,20 @@ def high_water(rows: DataFrame, key: str = "seq") -> DataFrame:
     return rows.agg(F.coalesce(F.max(key), F.lit(0)).cast("long").alias("high"))
 
 
+def images_of(images: DataFrame, run: str | None = None, stream: str | None = None) -> DataFrame:
+    """Images by filters that may be absent."""
+    for name, value in (("run", run), ("stream", stream)):
+        images = images if value is None else images.where(F.col(name) == value)
+    return images
+
+
+def with_next(found: DataFrame, limit: int, key: str = "seq") -> DataFrame:
+    """The first limit rows of a page of limit + 1, with next_last on the last one if another follows."""
+    place, more = F.row_number().over(Window.orderBy(F.desc(key))), F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
+    rows = found.withColumns({"__place": place, "__n": more}).where(F.col("__place") <= limit)
+    return rows.withColumn("next_last", F.when((F.col("__place") == limit) & (F.col("__n") > limit), F.col(key))).drop("__place", "__n")
+
+
 def byte_budget(rows: DataFrame, size: Column, budget: int = PAGE_BYTES, key: str = "seq") -> DataFrame:
     """The longest newest-first prefix of a bounded page whose sizes add up to the budget at most."""
     w = Window.orderBy(F.desc(key)).rowsBetween(Window.unboundedPreceding, 0)
@@ -87,7 +101,7 @@ def insert_absent(batch: DataFrame, existing: DataFrame, key: str = "sha256") ->
     return batch.dropDuplicates([key]).join(existing.select(key), key, "left_anti")
 
 
-def normalise_metadata(rows: DataFrame) -> DataFrame:
+def normalise_metadata(rows: DataFrame, escaped: int = LIMITS["escaped"]) -> DataFrame:
     """Empty run, label and note become null; tags are sorted by bytes and distinct; error names the first limit broken."""
     empty = {c: F.nullif(F.col(c), F.lit("")) for c in ("run", "label", "note")}
     rows = rows.withColumns(empty | {"tags": F.array_sort(F.array_distinct(F.coalesce("tags", F.array().cast("array<string>"))))})
@@ -95,8 +109,8 @@ def normalise_metadata(rows: DataFrame) -> DataFrame:
     tags = (F.size("tags") > LIMITS["tags"]) | F.exists("tags", lambda t: (t == "") | (F.octet_length(t) > LIMITS["tag"]))
     invalid = (F.col("stream") == "") | (F.col("run").isNull() & F.col("stream").isNotNull())
     given = F.col("captured_at") if "captured_at" in rows.columns else F.lit(None).cast("string")
-    escaped = F.octet_length(json_array(F.col("run"), F.col("stream"), F.col("label"), F.col("note"), F.col("tags"), given))
-    large = too_long | tags | (escaped > LIMITS["escaped"])
+    size = F.octet_length(json_array(F.col("run"), F.col("stream"), F.col("label"), F.col("note"), F.col("tags"), given))
+    large = too_long | tags | (size > escaped)
     return rows.withColumn("error", F.when(F.coalesce(invalid, F.lit(False)), "E_INVALID_ARGUMENT").when(large, "E_LIMIT_EXCEEDED"))
 
 

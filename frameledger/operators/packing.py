@@ -112,3 +112,25 @@ def encode_memory(width, height, alpha, png_bytes):
     """Bytes that coding a group may take: surfaces of the streams, four copies of a frame's samples, three of the largest file, and 32 MiB."""
     pixels = width.cast("long") * height.cast("long")
     return pixels * F.when(alpha, 2).otherwise(1) * 36 + pixels * F.when(alpha, 4).otherwise(3) * 4 + png_bytes * 3 + (32 << 20)
+
+
+def guard(rows: DataFrame, most: int, *by: str) -> DataFrame:
+    """Candidates, and whether they are more than a pack takes."""
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("images")).withColumn("refused", F.col("images") > most)
+
+
+def largest_descriptor(places: DataFrame, descriptors: DataFrame) -> DataFrame:
+    """segment_id and the bytes of its largest descriptor, 0 if it has none. places: image_id, segment_id."""
+    rows = places.select("image_id", "segment_id").join(descriptors.select("image_id", "descriptor_byte_length"), "image_id", "left")
+    return rows.groupBy("segment_id").agg(F.coalesce(F.max("descriptor_byte_length"), F.lit(0)).cast("long").alias("descriptor_bytes"))
+
+
+def located(active: DataFrame, places: DataFrame, segments: DataFrame) -> DataFrame:
+    """Active representations in segments with their place, by image and segment, and the segment's header."""
+    now = active.where("segment_id is not null").select("image_id", "segment_id", "representation_version")
+    return now.join(places, ["image_id", "segment_id"]).join(segments, "segment_id")
+
+
+def mixed_segments(members: DataFrame) -> DataFrame:
+    """Segments whose images differ in width, which no group may."""
+    return members.groupBy("segment_id").agg(F.count_distinct("width").alias("widths")).where("widths > 1")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -66,3 +66,33 @@ def constraint_issues(images: DataFrame, active: DataFrame, locations: DataFrame
     bounds = locations.where("frame_index < 0 or frame_index >= frame_count or frame_count not between 2 and 128").select(F.lit("frame_bounds").alias("code"), F.col("image_id").alias("key"))
     orphan = active.join(images.select("image_id"), "image_id", "left_anti").select(F.lit("orphan_representation").alias("code"), F.col("image_id").alias("key"))
     return reduce(DataFrame.unionAll, (halves, twice, union, bounds, orphan))
+
+
+def checked_sum(column: str) -> Column:
+    """total and error of a sum in an aggregate: one beyond 64 bits has no total, but the code of a limit."""
+    total = F.sum(F.col(column).cast("decimal(38,0)"))
+    fits = F.coalesce(total < F.lit(str(1 << 63)).cast("decimal(38,0)"), F.lit(True))
+    return F.struct(F.when(fits, F.coalesce(total, F.lit(0).cast("decimal(38,0)"))).cast("long").alias("total"), F.when(~fits, "E_LIMIT_EXCEEDED").alias("error"))
+
+
+def object_images(*references: tuple[DataFrame, str]) -> DataFrame:
+    """Distinct (sha256, image_id) of the given (relation with image_id, column)."""
+    parts = [df.where(F.col(c).isNotNull()).select(F.col(c).alias("sha256"), "image_id") for df, c in references]
+    return reduce(DataFrame.unionAll, parts).distinct()
+
+
+def newest_state(log: DataFrame, keys: list[str]) -> DataFrame:
+    """The state that the newest row of a prune log gives each key, and how many rows it has."""
+    return log.groupBy(*keys).agg(F.max_by("prune_state", "at").alias("prune_state"), F.count(F.lit(1)).alias("changes"))
+
+
+def rollup(issues: DataFrame, images: DataFrame) -> DataFrame:
+    """One row: images, errors, kinds of error, and whether all is sound."""
+    counted = issues.agg(F.count(F.lit(1)).alias("error_count"), F.count_distinct("code").alias("codes"))
+    total = images.agg(F.count(F.lit(1)).alias("images_checked"))
+    # one row each
+    return total.join(F.broadcast(counted)).withColumn("valid", F.col("error_count") == 0)
+
+
+def first_examples(rows: DataFrame, *order: str, limit: int = 20) -> DataFrame:
+    return rows.select(*order).orderBy(*order).limit(limit)

@@ -144,4 +144,7 @@ def sql(body: str) -> str:
         return found.union(*(needs(VIEWS[v]) for v in found)) if found else found
 
     used = needs(body)
-    return ("with " + ", ".join(f"{v} as ({VIEWS[v]})" for v in VIEWS if v in used) + " " if used else "") + body
+    views = ", ".join(f"{v} as ({VIEWS[v]})" for v in VIEWS if v in used)
+    if not views:
+        return body
+    return f"with {views}, {body.removeprefix('with ')}" if body.startswith("with ") else f"with {views} {body}"

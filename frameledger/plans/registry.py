@@ -2,36 +2,21 @@
 
 from __future__ import annotations
 
-import struct
-import zlib
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameledger.functions import canonical, codec, columns, container, png, tokens
+from frameledger.functions import canonical, columns, tokens
 from frameledger.operators import catalog, judgments, packing, pruning
 from frameledger.sources.shared import held
 
 from . import analogs as A
+from . import pictures, rules  # noqa: F401  (their queries register themselves)
+from .base import ORACLES, QUERIES, query  # noqa: F401
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
 LIST = ["seq", "image_id", "run", "stream", "frame_no", "width"]
 ROW = ", ".join(LIST)
 
 
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = A.sql(sql)
-        return f
-
-    return keep
-
-
 # pages and lookups
 
 
@@ -224,11 +209,6 @@ def segment_members(spark, d) -> DataFrame:
     return members_of(spark, d).groupBy("segment_id").agg(F.array_join(F.transform(listed, lambda x: x["image_id"]), ",").alias("images"))
 
 
-@query("select segment_id from members group by 1 having count(distinct width)>1")
-def segment_homogeneity(spark, d) -> DataFrame:
-    return members_of(spark, d).groupBy("segment_id").agg(F.count_distinct("width").alias("widths")).where("widths > 1").select("segment_id")
-
-
 @query("select image_id, representation_version, representation_kind, png_sha, segment_id from active")
 def repr_active(spark, d) -> DataFrame:
     return packing.active(A.Packed.of(spark, d).log)
@@ -295,12 +275,6 @@ def expected_present(spark, d) -> DataFrame:
     return A.objects(spark, d).select("sha256").join(refs(spark, d), "sha256", "left_semi")
 
 
-@query("select cast(null as varchar) as code, cast(null as varchar) as key where false")
-def verify_constraints(spark, d) -> DataFrame:
-    made = A.Packed.of(spark, d)
-    return pruning.constraint_issues(A.images(spark, d), made.active, made.members.select("image_id", "frame_index", "frame_count"))
-
-
 @query("select sha256(text) as sha256, case when max(doc_id)%10=0 then 'missing' when max(doc_id)%10=1 then 'length' else 'hash' end as issue from documents group by 1 having max(doc_id)%10<3")
 def verify_blob_hash(spark, d) -> DataFrame:
     rows = A.table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("sha256")).agg(F.max("doc_id").alias("id"), F.max("text").alias("text"))
@@ -314,35 +288,6 @@ def verify_blob_hash(spark, d) -> DataFrame:
 # bytes
 
 
-def pictures(spark, d) -> DataFrame:
-    """Vectors as 8 x 8 frames of one byte a sample, in RGB: a PNG for each, whose rows use all five filters."""
-    rows = A.table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("key"), "label", "vec_id", F.transform("embedding", lambda x: F.least(F.greatest(F.floor((x + 1) * 127.5), F.lit(0)), F.lit(255)).cast("int")).alias("gray"))
-
-    def draw(row: dict) -> dict:
-        gray = np.array(row["gray"], np.uint8).reshape(8, 8)
-        samples = np.stack([gray, gray + np.uint8(5), gray + np.uint8(11)], axis=2)
-        lines = png.refilter(samples.reshape(8, 24), bytes([0, 1, 2, 3, 4, 4, 3, 2]), 3)
-        body = png.chunk(b"IHDR", struct.pack(">IIBBBBB", 8, 8, 8, 2, 0, 0, 0)) + png.chunk(b"IDAT", zlib.compress(lines, 0)) + png.chunk(b"IEND", b"")
-        return {"key": row["key"], "label": row["label"], "vec_id": row["vec_id"], "content": png.SIGNATURE + body, "samples": samples.tobytes()}
-
-    return columns.per_row(rows, "key string, label int, vec_id long, content binary, samples binary", draw)
-
-
-@query()
-def png_meta(spark, d) -> DataFrame:
-    return columns.png_meta(pictures(spark, d))
-
-
-@query()
-def png_repack(spark, d) -> DataFrame:
-    return columns.png_repack(pictures(spark, d)).select("key", "error", "compression_applied", "width", "height", "scanline_sha256", "pixel_sha256")
-
-
-@query("select cast(vec_id as varchar) as key, cast(null as varchar) as error, true as same from embeddings")
-def pngr_roundtrip(spark, d) -> DataFrame:
-    return columns.png_roundtrip(pictures(spark, d)).select("key", "error", "same")
-
-
 def text_frames(spark, d) -> DataFrame:
     """Turns of a conversation as one-row frames of equal width."""
     rows = A.table(spark, d, "conversations").select("conv_id", "turn", F.col("text").cast("binary").alias("samples"))
@@ -367,32 +312,6 @@ def codec_roundtrip(spark, d) -> DataFrame:
     return out.unionAll(frames.where("n < 2").select("segment_id", F.col("frame_no").cast("int"), F.sha2("text", 256), F.lit("skipped")))
 
 
-@query("select cast(doc_id as varchar) as key, sha256(text) as sha from documents")
-def container_roundtrip(spark, d) -> DataFrame:
-    def both(row: dict) -> dict:
-        packets = [container.Packet(row["content"][:9], 0, 1, True), container.Packet(row["content"][9:], 1)]
-        data = b"".join(p.data for p in container.decode(container.encode(1, 1, 2, packets))[3])
-        return {"key": row["key"], "content": data}
-
-    rows = A.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("key"), F.col("text").cast("binary").alias("content"))
-    return columns.per_row(rows, "key string, content binary", both).select("key", F.sha2("content", 256).alias("sha"))
-
-
-@query()
-def segment_id(spark, d) -> DataFrame:
-    def digest(group: pa.Table) -> pa.Table:
-        rows = sorted(group.to_pylist(), key=lambda r: r["frame_index"])
-        value = container.segment_id(codec.NAME.encode(), rows[0]["png_sha"], None, [r["image_id"] for r in rows])
-        return pa.table({"segment": [rows[0]["segment_id"]], "segment_sha": [value]})
-
-    return members_of(spark, d).select("segment_id", "frame_index", "image_id", "png_sha").groupBy("segment_id").applyInArrow(digest, "segment string, segment_sha string")
-
-
-@query()
-def crc32(spark, d) -> DataFrame:
-    return A.table(spark, d, "pages").select("page_id", F.crc32(F.col("html").cast("binary")).alias("crc"))
-
-
 @query("select event_type, list_sort(list(value))[cast(ceil(count(*)*50/100.0) as integer)] as p50, list_sort(list(value))[cast(ceil(count(*)*95/100.0) as integer)] as p95 from events group by 1")
 def latency_percentiles(spark, d) -> DataFrame:
     return A.table(spark, d, "events").groupBy("event_type").agg(F.expr("percentile_disc(0.5) within group (order by value)").alias("p50"), F.expr("percentile_disc(0.95) within group (order by value)").alias("p95"))

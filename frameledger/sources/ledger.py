@@ -26,7 +26,7 @@ from frameledger.errors import LedgerError
 from frameledger.functions import codec, columns, container, pngr, tokens
 from frameledger.functions.columns import PackLimits
 from frameledger.functions.png import Limits
-from frameledger.operators import catalog, judgments, packing, pruning
+from frameledger.operators import blocks, catalog, judgments, packing, pruning
 
 from . import files
 
@@ -184,7 +184,7 @@ class Ledger:
             twin = F.when(F.col("first.k") == F.col("key"), "insert").when(F.col("first.f") == F.col("fingerprint"), "reuse").otherwise("conflict")
             judged = judged.withColumn("outcome", F.when(F.col("outcome") == "insert", twin).otherwise(F.col("outcome"))).withColumn("image_id", F.coalesce("known_image_id", "first.id"))
             last["judged"] = judged = at.held(judged.drop("op", "first"), "incoming")
-            new = numbered(judged.where("outcome = 'insert'"), "key", at, catalog.high_water(existing).first()[0])
+            new = blocks.ranked(judged.where("outcome = 'insert'"), "key", catalog.high_water(existing).first()[0], lambda df: at.held(df, "incoming"))
             new = catalog.allocate_frames(new, existing.select("run", "stream", "frame_no")).withColumn("frame_no", F.col("new_frame_no"))
             new = at.held(new.withColumns({"fingerprint_version": F.lit(2), "source_blob_sha256": F.col("source_sha256") if keep_source else F.lit(None).cast("string")}), "incoming")
             bytes_ = packed.join(new.select("key"), "key", "left_semi").select(F.col("png_sha").alias("sha256"), "byte_length", "content")
@@ -292,7 +292,7 @@ class Ledger:
         known = self.table("images").select("image_id", F.lit(True).alias("known"))
         rows = rows.join(known, "image_id", "left").withColumn("error", F.coalesce("refused", "error", F.when(F.col("known").isNull(), "E_NOT_FOUND")))
         rows = self.held(rows.withColumns({"judgment_id": F.expr("uuid()"), "created_at": F.lit(tokens.now())}), "incoming")
-        done = self.commit(lambda at: {"judgments": numbered(rows.where("error is null"), "key", at, catalog.high_water(at.table("judgments")).first()[0])})
+        done = self.commit(lambda at: {"judgments": blocks.ranked(rows.where("error is null"), "key", catalog.high_water(at.table("judgments")).first()[0], lambda df: at.held(df, "incoming"))})
         self.version = done.version
         return rows.select("key", F.when(F.col("error").isNull(), F.col("judgment_id")).alias("judgment_id"), "error")
 
@@ -561,15 +561,3 @@ def create(path: str, body: dict) -> None:
         os.link(held, path)
     finally:
         os.unlink(held)
-
-
-def numbered(rows: DataFrame, order: str, at: Ledger, base: int) -> DataFrame:
-    """rows with seq, dense behind base in the order of a column. Partitions are sorted ranges; only their counts meet on the driver."""
-    ranged = rows.repartitionByRange(order).sortWithinPartitions(order)
-    ranged = at.held(ranged.withColumns({"__part": F.spark_partition_id(), "__place": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "incoming")
-    starts, total = [], base + 1
-    for part, n in sorted(ranged.groupBy("__part").count().collect()):
-        starts.append((part, total))
-        total += n
-    offsets = at.spark.createDataFrame(starts, "__part int, __start long")
-    return ranged.join(F.broadcast(offsets), "__part").withColumn("seq", F.col("__start") + F.col("__place")).drop("__part", "__place", "__start")

@@ -131,7 +131,9 @@ def test_codec_is_lossless_and_decodes_prefixes(planes, size, n):
     packets = codec.encode(frames)
     assert all((a == b).all() for a, b in zip(codec.decode(packets, frames[0].shape), frames, strict=True))
     assert (codec.decode_one(packets[: n // 2 + 1], frames[0].shape, n // 2) == frames[n // 2]).all()
-    assert [p.key for p in packets] == [True] + [False] * (n - 1)
+    assert packets[0].key and [p.key for p in codec.encode([frames[0]] * n)] == [True] + [False] * (n - 1)
+    noise = [rng.integers(0, 256, (*size, planes), dtype=np.uint8) for _ in range(n)] if size != (2, 3) else [frames[0]] * n
+    assert size == (2, 3) or all(p.key for p in codec.encode(noise))  # nothing to predict from
     data = container.encode(size[1], size[0], n, packets)
     assert container.decode(data) == (size[1], size[0], n, packets)
     for broken in (data[:-1], data + b"x", b"x" + data[1:]):
@@ -156,7 +158,7 @@ def test_delta_beats_intra_on_a_moving_box():
         f[20:32, 3 * i : 3 * i + 12] = 240
         frames.append(np.stack([f, f + np.uint8(5), f + np.uint8(11)], axis=2))
     size = lambda packets: sum(len(p.data) for p in packets)
-    assert size(codec.encode(frames)) < size(codec.encode(frames, all_intra=True))
+    assert size(codec.encode(frames)) < size(codec.encode(frames, all_intra=True)) and [p.key for p in codec.encode(frames)] == [True] + [False] * 15
 
 
 @pytest.mark.parametrize("text,want", [('{"b":1,"a":[1.0,1e2,2.50,-0.0]}', '{"a":[1.0,100.0,2.5,-0.0],"b":1}'), ("1", "1"), ("1.0", "1.0"), ("NaN", None), ("1e400", None), ("not", None), ('{"a":1,"a":2}', '{"a":2}'), ('"é"', '"é"'), ("1e16", "1e16"), ("null", "null")])
