@@ -60,6 +60,28 @@ class MergeTable:
             parts, found = self.special.split(chunk), len(self.special.findall(chunk))
         return [w for p in parts if p for w, _ in self.split(self.normalize(p))], found
 
+    def many(self, chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The pre-tokens of all chunks, the chunk of each, and the special tokens of each chunk.
+
+        Chunks that keep their length when they are normalised go through the library in one text, as white space parts
+        them; their pre-tokens are told apart by offsets. The others go one by one.
+        """
+        words, owner, special = [], [], np.zeros(len(chunks), np.int64)
+        rest = [i for i, c in enumerate(chunks) if not self.special or not self.special.search(c)]
+        normal = self.normalize(" ".join([chunks[i] for i in rest])).split(" ")
+        plain = [i for i, n in zip(rest, normal, strict=True) if len(n) == len(chunks[i])] if len(normal) == len(rest) else []
+        if plain:
+            kept = set(plain)
+            found = self.split(" ".join([n for i, n in zip(rest, normal, strict=True) if i in kept]))
+            words = [w for w, _ in found]
+            ends = np.cumsum(np.fromiter((len(chunks[i]) + 1 for i in plain), np.int64, len(plain)))
+            owner = np.array(plain, np.int64)[np.searchsorted(ends, np.fromiter((o[0] for _, o in found), np.int64, len(found)), "right")].tolist()
+        for i in sorted(set(range(len(chunks))).difference(plain)):
+            own, special[i] = self.pretokens(chunks[i])
+            words += own
+            owner += [i] * len(own)
+        return words, np.array(owner, np.int64), special
+
     def symbols(self, word: str) -> list[int]:
         vocab = self.vocab
         return [vocab[c] for c in word[:-1]] + [vocab[word[-1] + self.end]]
@@ -105,7 +127,7 @@ class MergeTable:
 class CountTable:
     """Token counts of distinct chunks. It starts anew beyond most_chars."""
 
-    def __init__(self, path: str, most_chars: int = 24 << 20):
+    def __init__(self, path: str, most_chars: int = 48 << 20):
         self.merges, self.most_chars = MergeTable(path), most_chars
         self.clear()
 
@@ -115,15 +137,14 @@ class CountTable:
 
     def add(self, chunks) -> None:
         new = [c for c in chunks if c not in self.known]
-        found = [self.merges.pretokens(c) for c in new]
+        words, owner, total = self.merges.many(new)
         place: dict[str, int] = {}
-        for words, _ in found:
-            for w in words:
-                place.setdefault(w, len(place))
+        code = np.fromiter((place.setdefault(w, len(place)) for w in words), np.int64, len(words))
         counts = self.merges.count([self.merges.symbols(w) for w in place])
-        for c, (words, special) in zip(new, found, strict=True):
-            self.known[c] = special + int(sum(counts[place[w]] for w in words))
-            self.chars += len(c) + 100
+        if len(words):
+            total += np.bincount(owner, counts[code], len(new)).astype(np.int64)
+        self.known.update(zip(new, total.tolist(), strict=True))
+        self.chars += sum(map(len, new)) + 100 * len(new)
 
     def count(self, texts: list[str]) -> list[int]:
         split = [SPACE.split(t) if any(c in t for c in CONTROLS) else t.split() for t in texts]
