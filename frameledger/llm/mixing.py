@@ -123,7 +123,7 @@ def rake(tokens: np.ndarray, targets: list[np.ndarray], keep: float, tolerance:
             out = out * multiplier[axis].reshape([-1 if i == axis else 1 for i in axes])
         return out
 
-    worst, since = np.inf, 0
+    best, worst, since = chances(), np.inf, 0
     for _ in range(most if total else 0):
         for axis in axes:
             now = np.moveaxis(chances(), axis, 0)
@@ -132,10 +132,11 @@ def rake(tokens: np.ndarray, targets: list[np.ndarray], keep: float, tolerance:
         sums = np.minimum(1, chances()) * tokens
         off = max(float(np.abs(sums.sum(o) - g).max()) for o, g in zip(others, goals, strict=True)) / total
         since = 0 if off < 0.999 * worst else since + 1
-        worst = min(worst, off)
-        if worst < tolerance or since > 30:  # goals that exclude one another are met as far as they go
+        if off < worst:
+            best, worst = chances(), off
+        if worst < tolerance or since > 30:  # goals that exclude one another are met as far as they go, and in sum
             break
-    chance = np.minimum(1, chances())
+    chance = np.minimum(1, best * factor(tokens.ravel(), best.ravel(), total))
     return Calibration(chance, wanted, goals, [(chance * tokens).sum(o) for o in others])
 
 
