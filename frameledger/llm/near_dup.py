@@ -235,3 +235,17 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
 def missed(forest: Forest, similarity: float) -> float:
     """Probability that a pair of that similarity meets in no tree."""
     return math.pow(1 - similarity**forest.depth, forest.trees)
+
+
+#: DuckDB, for the columns of the query (width 3, 85 hundredths): every pair that shares a shingle, and the closure of the links.
+ORACLE = r"""
+with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+s as (select distinct doc_id, array_to_string(ws[i : i + 2], ' ') as shingle from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) as i from w where len(ws) > 0) q),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+e as (select a, b from l union select b, a from l),
+r(doc_id, reached) as (select doc_id, doc_id from n union select r.doc_id, e.b from r join e on e.a = r.reached)
+select w.doc_id, coalesce(any_value(n.n), 0) as n_shingles, coalesce(min(r.reached), w.doc_id) as component_id, coalesce(min(r.reached), w.doc_id) = w.doc_id as kept
+from w left join n using (doc_id) left join r using (doc_id) group by w.doc_id
+"""

@@ -63,4 +63,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_topk_search, op3_sharding, op4_secret_scan, op5_near_dedup, op6_token_counts, op7_mixing, op8_line_dedup, op9_exact_dedup, op10_toxicity)}
-ORACLES = {"op2_topk_search": topk_search.ORACLE, "op8_line_dedup": line_templates.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op2_topk_search": topk_search.ORACLE, "op5_near_dedup": near_dup.ORACLE, "op8_line_dedup": line_templates.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
