@@ -120,9 +120,9 @@ def test_frames_and_memory(packed):
 
 
 def noise(i: int) -> bytes:
-    samples = np.random.default_rng(i).integers(0, 256, (20, 30, 4), dtype=np.uint8)
-    lines = png.refilter(samples.reshape(20, 120), bytes(20), 4)
-    return png.SIGNATURE + png.chunk(b"IHDR", struct.pack(">IIBBBBB", 30, 20, 8, 6, 0, 0, 0)) + png.chunk(b"IDAT", zlib.compress(lines, 9)) + png.chunk(b"IEND", b"")
+    samples = np.random.default_rng(i).integers(0, 256, (60, 80, 4), dtype=np.uint8)
+    lines = png.refilter(samples.reshape(60, 320), bytes(60), 4)
+    return png.SIGNATURE + png.chunk(b"IHDR", struct.pack(">IIBBBBB", 80, 60, 8, 6, 0, 0, 0)) + png.chunk(b"IDAT", zlib.compress(lines, 9)) + png.chunk(b"IEND", b"")
 
 
 def test_pack_outcomes_limits_and_races(spark, tmp_path, monkeypatch):
