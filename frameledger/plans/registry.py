@@ -40,19 +40,23 @@ def high_water(spark, d) -> DataFrame:
     return catalog.high_water(A.images(spark, d))
 
 
-@query("select p.seq, p.image_id, a.representation_kind, cast(case when a.representation_kind='png' then o.byte_length else m.segment_bytes end as bigint) as stored_bytes from (select * from images order by seq desc limit 21) p join active a using (image_id) left join objects o on o.sha256=a.png_sha left join members m on m.image_id=p.image_id")
+@query("""select p.seq, p.image_id, a.representation_kind, cast(case when a.representation_kind='png' then o.byte_length else m.segment_bytes end as bigint) as stored_bytes
+ from (select * from images order by seq desc limit 21) p join active a using (image_id) left join objects o on o.sha256=a.png_sha
+ left join members m on m.image_id=p.image_id""")
 def list_stored_bytes(spark, d) -> DataFrame:
     made = A.Packed.of(spark, d)
     return catalog.info_page(catalog.page(A.images(spark, d), 20), made.log, A.objects(spark, d), made.members.select("image_id", "segment_id", "frame_index"), made.segments).select("seq", "image_id", "representation_kind", "stored_bytes")
 
 
-@query("select i.seq, i.image_id, i.run, i.stream, i.frame_no, a.representation_kind, a.representation_version, a.segment_id, m.frame_index, cast(case when a.representation_kind='png' then o.byte_length else m.segment_bytes end as bigint) as stored_bytes, cast(case when a.representation_kind='png' then 1 else m.frame_count end as bigint) as shared_image_count from images i join active a using (image_id) left join objects o on o.sha256=a.png_sha left join members m on m.image_id=i.image_id")
+@query("""select i.seq, i.image_id, i.run, i.stream, i.frame_no, a.representation_kind, a.representation_version, a.segment_id, m.frame_index, cast(case when a.representation_kind='png' then o.byte_length else m.segment_bytes end as bigint) as stored_bytes, cast(case when a.representation_kind='png' then 1 else m.frame_count end as bigint) as shared_image_count
+ from images i join active a using (image_id) left join objects o on o.sha256=a.png_sha left join members m on m.image_id=i.image_id""")
 def info_record(spark, d) -> DataFrame:
     made = A.Packed.of(spark, d)
     return catalog.info(A.images(spark, d), made.active, A.objects(spark, d), made.members.select("image_id", "segment_id", "frame_index"), made.segments)
 
 
-@query("select seq, image_id, running_bytes from (select seq, image_id, cast(sum(length(image_id)*20) over (order by seq desc) as bigint) as running_bytes from (select * from images order by seq desc limit 101) p) q where running_bytes <= 16320")
+@query("""select seq, image_id, running_bytes from (select seq, image_id, cast(sum(length(image_id)*20) over (order by seq desc) as bigint) as running_bytes from (select *
+ from images order by seq desc limit 101) p) q where running_bytes <= 16320""")
 def page_byte_budget(spark, d) -> DataFrame:
     return catalog.byte_budget(catalog.page(A.images(spark, d), 100), F.octet_length("image_id") * 20).select("seq", "image_id", "running_bytes")
 
@@ -62,7 +66,8 @@ def get_frame(spark, d) -> DataFrame:
     return catalog.frame(A.images(spark, d).select(*LIST), "u1", "click", 2)
 
 
-@query("select i.seq, i.image_id, i.run, i.stream, i.frame_no, p.image_id as previous_image_id, p.pixel_sha256 = i.pixel_sha256 as same_pixels from images i left join images p on p.run=i.run and p.stream=i.stream and p.frame_no=i.frame_no-1")
+@query("""select i.seq, i.image_id, i.run, i.stream, i.frame_no, p.image_id as previous_image_id, p.pixel_sha256 = i.pixel_sha256 as same_pixels from images i
+ left join images p on p.run=i.run and p.stream=i.stream and p.frame_no=i.frame_no-1""")
 def features_previous(spark, d) -> DataFrame:
     return catalog.previous_frame(A.images(spark, d))
 
@@ -71,27 +76,37 @@ def features_previous(spark, d) -> DataFrame:
 
 
 def operations(spark, d) -> DataFrame:
-    return A.images(spark, d).select("image_id", F.concat(F.lit("op-"), (F.col("seq") % 1000).cast("string")).alias("operation_id"), (F.col("seq") % 1500).cast("string").alias("fingerprint"), "seq")
+    """Two images an operation."""
+    return A.images(spark, d).select("image_id", F.concat(F.lit("op-"), F.floor(F.col("seq") / 2).cast("string")).alias("operation_id"), (F.col("seq") % 3).cast("string").alias("fingerprint"), "seq")
 
 
-@query("select b.seq, b.operation_id, e.image_id as known_image_id, case when e.fp is null then 'insert' when e.fp = cast(b.seq%1500 as varchar) then 'reuse' else 'conflict' end as outcome from (select seq, 'op-'||(seq%1000) as operation_id from images) b left join (select 'op-'||(seq%1000) as operation_id, cast(seq%1500 as varchar) as fp, image_id from images where seq<=500) e using (operation_id)")
+@query("""with o as (select seq, image_id, 'op-' || (seq // 2) as operation_id, cast(seq % 3 as varchar) as fp from images)
+ select b.seq, b.operation_id, e.image_id as known_image_id, case when e.fp is null then 'insert' when e.fp = b.fp then 'reuse' else 'conflict' end as outcome
+ from o b left join (select * from o where seq % 4 = 0) e using (operation_id)""")
 def op_retry_conflict(spark, d) -> DataFrame:
+    """Every image against those that every other operation has stored."""
     rows = operations(spark, d)
-    return catalog.retries(rows, rows.where("seq <= 500").select("image_id", "operation_id", "fingerprint")).select("seq", "operation_id", "known_image_id", "outcome")
+    return catalog.retries(rows, rows.where("seq % 4 = 0").select("image_id", "operation_id", "fingerprint")).select("seq", "operation_id", "known_image_id", "outcome")
 
 
-@query("select i.seq, i.run, i.stream, case when i.run is not null then cast(row_number() over (partition by run,stream order by seq)-1 as bigint) + coalesce((select max(e.frame_no)+1 from images e where e.seq<=500 and e.run=i.run and e.stream=i.stream),0) end as new_frame_no from images i where i.seq>500")
+@query("""with h as (select max(seq) // 2 as half from images), e as (select run, stream, max(frame_no) + 1 as base from images, h where seq <= half group by 1, 2)
+ select i.seq, i.run, i.stream, case when i.run is not null then cast(row_number() over (partition by i.run, i.stream order by i.seq) - 1 as bigint) + coalesce(e.base, 0) end as new_frame_no
+ from images i join h on i.seq > h.half left join e on e.run = i.run and e.stream = i.stream""")
 def frame_alloc(spark, d) -> DataFrame:
+    """The later half of the images as a batch behind the earlier one."""
     rows = A.images(spark, d)
-    return catalog.allocate_frames(rows.where("seq > 500").drop("frame_no"), rows.where("seq <= 500")).select("seq", "run", "stream", "new_frame_no")
+    half = catalog.high_water(A.table(spark, d, "events").select((F.col("event_id") + 1).alias("seq"))).first()["high"] // 2
+    return catalog.allocate_frames(rows.where(F.col("seq") > half).drop("frame_no"), rows.where(F.col("seq") <= half)).select("seq", "run", "stream", "new_frame_no")
 
 
-@query("select seq, run, case when run is not null then 'default' end as stream, case when run is not null then cast(row_number() over (partition by run order by seq)-1 as bigint) end as frame_no from images")
+@query("""select seq, run, case when run is not null then 'default' end as stream, case when run is not null then cast(row_number() over (partition by run order by seq)-1 as bigint) end as frame_no
+ from images""")
 def v1_backfill(spark, d) -> DataFrame:
     return catalog.backfill_frames(A.images(spark, d).select("seq", "run")).select("seq", "run", "stream", "frame_no")
 
 
-@query("select o_orderkey, nullif(case when o_orderkey%3=0 then '' else o_orderpriority end,'') as label, array_to_string(list_sort(list_distinct([o_orderstatus, o_orderpriority, o_orderstatus])),'|') as tags, case when strlen(repeat('界', cast(o_orderkey%60 as integer)))>128 then 'E_LIMIT_EXCEEDED' end as error from orders")
+@query("""select o_orderkey, nullif(case when o_orderkey%3=0 then '' else o_orderpriority end,'') as label, array_to_string(list_sort(list_distinct([o_orderstatus, o_orderpriority, o_orderstatus])),'|') as tags, case when strlen(repeat('界', cast(o_orderkey%60 as integer)))>128 then 'E_LIMIT_EXCEEDED' end as error
+ from orders""")
 def metadata_normalise(spark, d) -> DataFrame:
     rows = A.table(spark, d, "orders").select(
         "o_orderkey", F.expr("repeat('界', cast(o_orderkey % 60 as int))").alias("run"), F.lit(None).cast("string").alias("stream"), F.lit("").alias("note"),
@@ -259,7 +274,8 @@ def prune_coverage(spark, d) -> DataFrame:
     return pruning.coverage(made.retired, made.active)
 
 
-@query("select cast(count(*) filter (total=covered) as bigint) as reclaimable_objects, cast(coalesce(sum(byte_length) filter (total=covered),0) as bigint) as reclaimable_bytes, cast(count(*) filter (total<>covered) as bigint) as held_objects, count(*) filter (total=covered)>10000 as over_limit from prunable join coverage using (sha256)")
+@query("""select cast(count(*) filter (total=covered) as bigint) as reclaimable_objects, cast(coalesce(sum(byte_length) filter (total=covered),0) as bigint) as reclaimable_bytes, cast(count(*) filter (total<>covered) as bigint) as held_objects, count(*) filter (total=covered)>10000 as over_limit
+ from prunable join coverage using (sha256)""")
 def prune_report(spark, d) -> DataFrame:
     made = A.Packed.of(spark, d)
     return pruning.report(prunable(spark, d, made), pruning.coverage(made.retired, made.active), 10_000)
@@ -297,7 +313,8 @@ def text_frames(spark, d) -> DataFrame:
     return rows.select(F.concat_ws("-", F.lit("c"), F.col("conv_id").cast("string")).alias("segment_id"), F.col("place").alias("frame_no"), "width", F.lit(1).alias("height"), F.lit(3).alias("channels"), F.unhex(padded).alias("samples"), F.col("samples").alias("text"), F.count(F.lit(1)).over(Window.partitionBy("conv_id")).alias("n"))
 
 
-@query("""with places as (select *, row_number() over (partition by conv_id order by turn)-1 as place from conversations), parts as (select *, count(*) over (partition by conv_id, place//128) as n from places)
+@query("""with places as (select *, row_number() over (partition by conv_id order by turn)-1 as place
+ from conversations), parts as (select *, count(*) over (partition by conv_id, place//128) as n from places)
  select 'c-'||conv_id||'-'||(place//128) as segment_id, cast(place%128 as integer) as frame_index, sha256(text) as text_sha256, case when n<2 then 'skipped' else 'coded' end as status from parts""")
 def codec_roundtrip(spark, d) -> DataFrame:
     """All turns: a conversation is cut into parts of 128 frames at most; the turn of a one-turn part is not coded and stays as it is."""
