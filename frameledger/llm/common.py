@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 4 << 20
 #: A key with fewer narrow rows than this fits a task. With more, and with a thousandth of all rows, it is split.
 HOT_ROWS, HOT_SHARE, SALTS = 1_000_000, 1000, 64
+#: Rows of a narrow table in a file; with fewer, a table of known length isn't spread over more files.
+FILE_ROWS = 16_384
 #: Folders that this process has made and not yet deleted.
 MADE: list[str] = []
 
@@ -39,9 +41,10 @@ class Scratch:
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         MADE.append(self.root)
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """df written and read again. rows: a bound of its length, if known, by which small tables get few files."""
         path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        (df if rows is None else df.coalesce(-(-rows // FILE_ROWS) or 1)).write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -68,12 +71,12 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
-def spread_join(big: DataFrame, small: DataFrame, key: str, how: str = "left") -> DataFrame:
-    """big joined with small, which has one row for a key, on a key that may hold a large share of big.
+def spread_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", rows: int | None = None) -> DataFrame:
+    """big joined with small, which has one row for a key, on a key that may hold a large share of big. rows: a bound of big's length, if known.
 
     Keys with more than a thousandth of big's rows, of which there are fewer than a thousand, are split over SALTS tasks.
     """
-    n = big.count()
+    n = big.count() if rows is None else rows
     hot = [r[0] for r in big.groupBy(key).count().where(F.col("count") > max(HOT_ROWS, n // HOT_SHARE)).collect()] if n > HOT_ROWS else []
     if not hot:
         return big.join(small, key, how)

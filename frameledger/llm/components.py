@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, spread_join
 
 
+def ordered(links: DataFrame) -> DataFrame:
+    return links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """node, root (smallest node of its component) for every node of links(a long, b long).
 
@@ -18,27 +22,33 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     the largest component. Null ends and self links are ignored.
     """
     links = links.where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    given = links.count()
     nodes = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).distinct()
-    table = nodes.withColumn("root", F.col("node"))
-    edges = scratch.write(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges0")
-    step = 0
-    while edges.limit(1).count():
+    edges = scratch.write(ordered(links), f"{name}-edges0", given)
+    size = edges.count()
+    # a node is an end of a link, or of a link to itself
+    table = scratch.write(nodes.withColumn("root", F.col("node")), f"{name}-table0", 2 * given)
+    known, step = table.count(), 0
+    while size:
         step += 1
         # b is the larger root of each link
-        hooks = scratch.write(edges.groupBy(F.col("b").alias("root")).agg(F.min("a").alias("to")), f"{name}-hooks{step}-0")
+        hooks = scratch.write(edges.groupBy(F.col("b").alias("root")).agg(F.min("a").alias("to")), f"{name}-hooks{step}-0", size)
         jump = 0
         while True:
             jump += 1
             onward = hooks.select(F.col("root").alias("to"), F.col("to").alias("further"))
-            jumped = scratch.write(spread_join(hooks, onward, "to").select("root", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")), f"{name}-hooks{step}-{jump}")
+            jumped = spread_join(hooks, onward, "to", rows=size).select("root", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved"))
+            jumped = scratch.write(jumped, f"{name}-hooks{step}-{jump}", size)
             scratch.drop(f"{name}-hooks{step}-{jump - 1}")
             hooks = jumped.select("root", "to")
             if not jumped.where("moved").limit(1).count():
                 break
-        table = scratch.write(spread_join(table, hooks, "root").select("node", F.coalesce("to", "root").alias("root")), f"{name}-table{step}")
+        moved_nodes = spread_join(table, hooks, "root", rows=known).select("node", F.coalesce("to", "root").alias("root"))
+        table = scratch.write(moved_nodes, f"{name}-table{step}", known)
         moved = hooks.select(F.col("root").alias("a"), F.col("to").alias("a2"))
         moved_b = hooks.select(F.col("root").alias("b"), F.col("to").alias("b2"))
-        far = spread_join(spread_join(edges, moved, "a"), moved_b, "b", "inner").select(F.coalesce("a2", "a").alias("a"), F.col("b2").alias("b"))
-        edges = scratch.write(far.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges{step}")
+        far = spread_join(spread_join(edges, moved, "a", rows=size), moved_b, "b", "inner", rows=size)
+        edges = scratch.write(ordered(far.select(F.coalesce("a2", "a").alias("a"), F.col("b2").alias("b"))), f"{name}-edges{step}", size)
+        size = edges.count()
         scratch.drop(f"{name}-edges{step - 1}", f"{name}-table{step - 1}", f"{name}-hooks{step}-{jump}")
-    return table if step else scratch.write(table, f"{name}-table0")
+    return table

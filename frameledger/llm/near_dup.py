@@ -200,25 +200,27 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     sketches = scratch.write(raw.mapInArrow(lambda it: frugal(sketch_batches(it, forest)), "doc_id long, n_shingles long, set_key binary, sketch binary"), "sketches")
     sound = sketches.where("doc_id is not null and n_shingles > 0")
-    reps = scratch.write(sound.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "reps")
+    reps = scratch.write(sound.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "reps", sketches.count())
 
     chosen = sound.select(F.col("doc_id").alias("rep"), "sketch").join(reps.select("rep"), "rep", "left_semi")
     sorted_orders = orders(chosen, forest).repartitionByRange(parts, "place", "rep").sortWithinPartitions("place", "rep")
     runs = scratch.write(sorted_orders.mapInArrow(lambda it: frugal(run_batches(it, forest.depth)), "region long, rep long, previous long, more boolean"), "runs")
     neighbours = runs.where("previous is not null").select(F.least("previous", "rep").alias("a"), F.greatest("previous", "rep").alias("b")).where("a <> b").distinct()
 
-    ids = scratch.write(runs.select("rep").distinct(), "ids")
+    size = runs.count()
+    ids = scratch.write(runs.select("rep").distinct(), "ids", size)
     asked = ids.select(F.col("rep").alias("doc_id"))
     sets = scratch.write(raw.where("doc_id is not null").join(some(asked, MOST_IDS), "doc_id", "left_semi").mapInArrow(lambda it: frugal(set_batches(it, forest.width)), "rep long, shingles array<long>"), "sets")
-    near = scratch.write(confirmed(neighbours, sets, forest.percent), "near")
+    near = scratch.write(confirmed(neighbours, sets, forest.percent), "near", size)
     roots = components(near, scratch, "first")
 
-    members = scratch.write(runs.where("more").select("region", "rep").distinct().join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("region", "rep", F.coalesce("root", "rep").alias("root")), "members")
+    members = runs.where("more").select("region", "rep").distinct().join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("region", "rep", F.coalesce("root", "rep").alias("root"))
+    members = scratch.write(members, "members", size)
     mixed_regions = members.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("region")
-    mixed_regions = scratch.write(mixed_regions, "mixed")
+    mixed_regions = scratch.write(mixed_regions, "mixed", size)
     found = members.join(F.broadcast(mixed_regions), "region", "left_semi") if mixed_regions.count() <= MOST_IDS else spread_join(members, mixed_regions, "region", "left_semi")
     opened = found.select("rep", "root").distinct()
-    open_sets = scratch.write(opened.join(sets, "rep").select("rep", "root", "shingles"), "open")
+    open_sets = scratch.write(opened.join(sets, "rep").select("rep", "root", "shingles"), "open", size)
     if open_sets.limit(1).count():
         further = scratch.write(confirmed(across(open_sets, forest.percent, scratch), sets, forest.percent), "further")
         if further.limit(1).count():
