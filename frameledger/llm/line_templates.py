@@ -81,11 +81,11 @@ def enough(texts: Column, fixed: Column, total: int) -> Column:
     return (texts >= least) & ((fixed >= FEW) | (texts * RARE >= total))
 
 
-def generalised(docs: DataFrame, rest: DataFrame, total: int, scratch: Scratch) -> DataFrame:
-    """Forms that belong to the template of their leaf: one, two, t1, t2, fixed. rest: forms that don't recur by themselves."""
+def generalised(docs: DataFrame, rest: DataFrame, total: int, most: int, scratch: Scratch) -> DataFrame:
+    """Forms that belong to the template of their leaf: one, two, t1, t2, fixed. rest: forms that don't recur by themselves, most of them at most."""
     wide = rest.where(f"n > {LEAD}")
-    crowded = scratch.write(wide.groupBy("leaf").agg(F.sum("docs").alias("weight")).where(F.col("weight") >= LEAST), "crowded")
-    open_forms = scratch.write(wide.join(some(crowded, MOST_BROADCAST), "leaf").select("one", "two", "leaf", "n", "docs", "weight"), "open")
+    crowded = scratch.write(wide.groupBy("leaf").agg(F.sum("docs").alias("weight")).where(F.col("weight") >= LEAST), "crowded", most)
+    open_forms = scratch.write(wide.join(some(crowded, MOST_BROADCAST), "leaf").select("one", "two", "leaf", "n", "docs", "weight"), "open", most)
     # the tokens of the forms in question, from a scan of their own
     tokens = docs.select(F.explode(F.transform(forms_of(F.col("text")), lambda f: F.struct(*hashes(f), f.alias("form")))).alias("x"))
     tokens = tokens.select("x.one", "x.two", "x.form").join(some(open_forms, MOST_BROADCAST), ["one", "two"])
@@ -97,7 +97,7 @@ def generalised(docs: DataFrame, rest: DataFrame, total: int, scratch: Scratch)
     # tokens at positions that stayed must agree
     all_stay = stays.groupBy("leaf").agg(F.count(F.lit(1)).alias("positions"), F.max("fixed").alias("fixed"))
     agreed = each.join(stays.select("leaf", "at", "token"), ["leaf", "at", "token"]).groupBy("one", "two", "leaf", "n", "docs").agg(F.count(F.lit(1)).alias("agree"))
-    own = scratch.write(agreed.join(all_stay, "leaf").where("agree = positions and fixed * 2 >= n"), "own")
+    own = scratch.write(agreed.join(all_stay, "leaf").where("agree = positions and fixed * 2 >= n"), "own", most)
     known = own.groupBy("leaf").agg(F.sum("docs").alias("texts"), F.max("fixed").alias("few")).where((F.col("texts") >= LEAST) & ((F.col("few") >= FEW) | (F.col("texts") * RARE >= total))).select("leaf")
     # LONG has no bearing here: such a template needs LEAST texts
     return own.join(known, "leaf", "left_semi").select("one", "two", F.col("leaf").alias("t1"), F.lit(None).cast("long").alias("t2"), F.least("fixed", F.lit(LONG - 1)).cast("int").alias("fixed"))
@@ -106,23 +106,25 @@ def generalised(docs: DataFrame, rest: DataFrame, total: int, scratch: Scratch)
 def drops(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """c1, c2 and the positions of the lines that go, for texts that lose lines."""
     lines = scratch.write(lines_of(docs), "lines")
-    texts = scratch.write(lines.groupBy("c1", "c2").agg(F.sum("n").alias("tokens")), "texts")
+    most = lines.count()
+    texts = scratch.write(lines.groupBy("c1", "c2").agg(F.sum("n").alias("tokens")), "texts", most)
     total = texts.count()
     forms = lines.select("c1", "c2", "one", "two", "leaf", "n", "fixed").distinct().groupBy("one", "two")
-    forms = scratch.write(forms.agg(F.count(F.lit(1)).alias("docs"), F.min("leaf").alias("leaf"), F.min("n").alias("n"), F.min("fixed").alias("fixed")), "forms")
+    forms = scratch.write(forms.agg(F.count(F.lit(1)).alias("docs"), F.min("leaf").alias("leaf"), F.min("n").alias("n"), F.min("fixed").alias("fixed")), "forms", most)
     alone = enough(F.col("docs"), F.col("fixed"), total)
     recurs = forms.where(alone).select("one", "two", F.col("one").alias("t1"), F.col("two").alias("t2"), "fixed")
-    templates = scratch.write(recurs.unionAll(generalised(docs, forms.where(~alone), total, scratch)), "templates")
+    several = forms.count()
+    templates = scratch.write(recurs.unionAll(generalised(docs, forms.where(~alone), total, several, scratch)), "templates", several)
     own = lines.select("c1", "c2", "pos", "n", F.struct("one", "two").alias("form"))
     named = templates.select(F.struct("one", "two").alias("form"), "t1", "t2", "fixed")
     # a frequent template is split over tasks where templates are too many to broadcast
     found = own.join(F.broadcast(named), "form") if templates.count() <= MOST_BROADCAST else spread_join(own, named, "form", "inner")
-    hits = scratch.write(found.drop("form"), "hits")
+    hits = scratch.write(found.drop("form"), "hits", most)
     copied = hits.groupBy("c1", "c2").agg(F.sum("n").alias("again")).join(texts, ["c1", "c2"]).where(F.col("again") * 10 < F.col("tokens") * SHARE).select("c1", "c2")
     evidence = hits.select("c1", "c2", "t1", "t2", "fixed").distinct().join(copied, ["c1", "c2"], "left_semi").groupBy("t1", "t2", "fixed").agg(F.count(F.lit(1)).alias("docs"))
-    gone = scratch.write(evidence.where(enough(F.col("docs"), F.col("fixed"), total)).select("t1", "t2"), "gone")
+    gone = scratch.write(evidence.where(enough(F.col("docs"), F.col("fixed"), total)).select("t1", "t2"), "gone", several)
     same = hits["t1"].eqNullSafe(gone["t1"]) & hits["t2"].eqNullSafe(gone["t2"])
-    out = scratch.write(hits.join(some(gone, MOST_BROADCAST), same, "left_semi").groupBy("c1", "c2").agg(F.collect_set("pos").alias("drop")), "drops")
+    out = scratch.write(hits.join(some(gone, MOST_BROADCAST), same, "left_semi").groupBy("c1", "c2").agg(F.collect_set("pos").alias("drop")), "drops", total)
     scratch.drop("lines", "texts", "forms", "crowded", "open", "tokens", "stays", "own", "templates", "hits", "gone")
     return out
 
