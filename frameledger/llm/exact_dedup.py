@@ -39,15 +39,16 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     rest = F.right(F.col("rank").cast("string"), F.lit(20)).cast("decimal(20,0)")
     key = F.unhex(F.md5("norm")).alias("hash")
     members = scratch.write(rows.select("doc_id", key, F.unhex(F.sha2("norm", 256)).alias("sha")), "members")
-    several = scratch.write(members.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "several")
-    ids = scratch.write(spread_join(members, several, "hash", "left_semi").select(F.col("doc_id").alias("id")).distinct(), "ids")
+    most = members.count()
+    several = scratch.write(members.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "several", most)
+    ids = scratch.write(spread_join(members, several, "hash", "left_semi", most).select(F.col("doc_id").alias("id")).distinct(), "ids", most)
     again = rows.join(some(ids, MOST_IDS), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     groups = again.select(key, "norm", rank.alias("rank")).groupBy("hash", "norm").agg(F.count(F.lit(1)).alias("group_size"), F.max("rank").alias("rank"))
     place = F.struct("hash", "sha").alias("place")
     groups = groups.select("hash", F.unhex(F.sha2("norm", 256)).alias("sha"), "group_size", F.when(rest > 0, (edge - rest).cast("long")).alias("keep_id")).where("group_size > 1")
     groups = scratch.write(groups.select(place, "group_size", "keep_id"), "groups")
     scratch.drop("several", "ids")
-    out = spread_join(members.select("doc_id", place), groups, "place")
+    out = spread_join(members.select("doc_id", place), groups, "place", rows=most)
     keep_id = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select(
         "doc_id", keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.col("doc_id").eqNullSafe(keep_id).alias("kept"), F.lower(F.hex("place.sha")).alias("text_sha256")
