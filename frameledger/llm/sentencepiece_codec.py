@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import bound_batches, frugal, slices
 
 MARK = "▁"
+#: What normalisers of such models change: ligatures, wide letters, marks, runs of blanks, blanks at the ends.
+PROBE = " ﬁ Ａ e\u0301 ①  x\u3000y\t "
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -32,6 +34,8 @@ class ChunkTable:
         import sentencepiece
 
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
+        if sp.normalize(PROBE) != MARK + PROBE.replace(" ", MARK):
+            raise ValueError("this model normalises its input, so chunks of a text aren't those of the model")
         pieces = [sp.id_to_piece(i) for i in range(sp.vocab_size())]
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces):
             raise ValueError("a piece of this model crosses a whitespace marker")
