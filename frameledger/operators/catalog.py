@@ -135,20 +135,22 @@ def object_path(sha: Column, extension: Column | str) -> Column:
     return F.when(sha.rlike("^[0-9a-f]{64}$"), F.concat(F.lit("objects/sha256/"), sha.substr(1, 2), F.lit("/"), sha.substr(3, 2), F.lit("/"), sha, F.lit("."), ext))
 
 
-def info(images: DataFrame, representations: DataFrame, objects: DataFrame, locations: DataFrame, segments: DataFrame) -> DataFrame:
-    """Images with the form they are stored in: own object, or place in a segment. stored_bytes of a segment are shared by its images."""
+def info(images: DataFrame, representations: DataFrame, objects: DataFrame, locations: DataFrame, segments: DataFrame, descriptors: DataFrame | None = None) -> DataFrame:
+    """Images with the form they are stored in: own object, or place in a segment. stored_bytes of a segment are shared by its images,
+    with the image's own descriptor if descriptors (image_id, descriptor_byte_length) are given."""
     png = objects.select(F.col("sha256").alias("png_sha"), F.col("byte_length").alias("png_bytes"))
     placed = locations.join(segments.select("segment_id", "frame_count", "segment_bytes"), "segment_id")
     out = images.join(representations, "image_id").join(png, "png_sha", "left").join(placed, ["image_id", "segment_id"], "left")
     own = F.col("representation_kind") == "png"
+    out = out.withColumn("descriptor_byte_length", F.lit(0)) if descriptors is None else out.join(descriptors.select("image_id", "descriptor_byte_length"), "image_id", "left")
     return out.select(
         "seq", "image_id", "run", "stream", "frame_no", "representation_kind", "representation_version", "segment_id", "frame_index",
-        F.when(own, F.col("png_bytes")).otherwise(F.col("segment_bytes")).cast("long").alias("stored_bytes"),
+        F.when(own, F.col("png_bytes")).otherwise(F.col("segment_bytes") + F.coalesce("descriptor_byte_length", F.lit(0))).cast("long").alias("stored_bytes"),
         F.when(own, F.lit(1)).otherwise(F.col("frame_count")).cast("long").alias("shared_image_count"),
     )
 
 
-def info_page(page: DataFrame, log: DataFrame, objects: DataFrame, locations: DataFrame, segments: DataFrame) -> DataFrame:
+def info_page(page: DataFrame, log: DataFrame, objects: DataFrame, locations: DataFrame, segments: DataFrame, descriptors: DataFrame | None = None) -> DataFrame:
     """info of a bounded page, from the representation log itself: its ids cut every relation first, so that nothing is
     aggregated or joined but what the page needs."""
     from .packing import active
@@ -158,4 +160,4 @@ def info_page(page: DataFrame, log: DataFrame, objects: DataFrame, locations: Da
     placed = locations.join(ids, "image_id", "left_semi")
     parts = segments.join(F.broadcast(placed.select("segment_id").distinct()), "segment_id", "left_semi")
     own = objects.join(F.broadcast(now.where("png_sha is not null").select(F.col("png_sha").alias("sha256"))), "sha256", "left_semi")
-    return info(page, now, own, placed, parts)
+    return info(page, now, own, placed, parts, None if descriptors is None else descriptors.join(ids, "image_id", "left_semi"))

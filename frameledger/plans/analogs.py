@@ -44,9 +44,10 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir).groupBy(F.col("png_sha").alias("sha256")).agg(F.max("png_bytes").alias("byte_length"))
 
 
-def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates in groups, with a stand-in for the coded size of each group."""
-    rows = packing.groups(packing.candidates(images(spark, sf_dir), stored(spark, sf_dir), objects(spark, sf_dir)), GROUP)
+def grouped(spark: SparkSession, sf_dir: str, runs: DataFrame | None = None) -> DataFrame:
+    """Candidates in groups, with a stand-in for the coded size of each group; of the given runs, if any (a bounded number of them)."""
+    taken = images(spark, sf_dir) if runs is None else images(spark, sf_dir).join(F.broadcast(runs), "run", "left_semi")
+    rows = packing.groups(packing.candidates(taken, stored(spark, sf_dir), objects(spark, sf_dir)), GROUP)
     key = ["run", "stream", "isl", "part"]
     size = F.floor(F.sum("png_bytes").over(Window.partitionBy(*key)) * (F.col("isl") % 7 + 5) / 10).cast("long")
     return rows.withColumn("candidate_bytes", size)
@@ -62,8 +63,8 @@ class Packed:
     plan: DataFrame
 
     @classmethod
-    def of(cls, spark: SparkSession, sf_dir: str) -> Packed:
-        rows = held(grouped(spark, sf_dir))
+    def of(cls, spark: SparkSession, sf_dir: str, runs: DataFrame | None = None) -> Packed:
+        rows = held(grouped(spark, sf_dir, runs))
         return cls(spark, sf_dir, rows, held(packing.plan(rows)))
 
     @cached_property

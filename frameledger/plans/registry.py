@@ -44,8 +44,9 @@ def high_water(spark, d) -> DataFrame:
  from (select * from images order by seq desc limit 21) p join active a using (image_id) left join objects o on o.sha256=a.png_sha
  left join members m on m.image_id=p.image_id""")
 def list_stored_bytes(spark, d) -> DataFrame:
-    made = A.Packed.of(spark, d)
-    return catalog.info_page(catalog.page(A.images(spark, d), 20), made.log, A.objects(spark, d), made.members.select("image_id", "segment_id", "frame_index"), made.segments).select("seq", "image_id", "representation_kind", "stored_bytes")
+    page = held(catalog.page(A.images(spark, d), 20))
+    made = A.Packed.of(spark, d, page.where("run is not null").select("run").distinct())
+    return catalog.info_page(page, made.log, A.objects(spark, d), made.members.select("image_id", "segment_id", "frame_index"), made.segments).select("seq", "image_id", "representation_kind", "stored_bytes")
 
 
 @query("""select i.seq, i.image_id, i.run, i.stream, i.frame_no, a.representation_kind, a.representation_version, a.segment_id, m.frame_index, cast(case when a.representation_kind='png' then o.byte_length else m.segment_bytes end as bigint) as stored_bytes, cast(case when a.representation_kind='png' then 1 else m.frame_count end as bigint) as shared_image_count

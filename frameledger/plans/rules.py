@@ -174,6 +174,16 @@ def temporal_locations(spark, d) -> DataFrame:
     return packing.located(made.active, places, made.segments).select("image_id", "segment_id", "frame_index", "decode_start_index", "frame_count", "segment_bytes", "representation_version")
 
 
+@query("""select i.seq, i.image_id, a.representation_kind, cast(case when a.representation_kind = 'png' then o.byte_length else m.segment_bytes + i.seq % 500 + 20 end as bigint) as stored_bytes
+ from images i join active a using (image_id) left join objects o on o.sha256 = a.png_sha left join members m on m.image_id = i.image_id""")
+def representation_bytes(spark, d) -> DataFrame:
+    """What each image's form takes: its object, or its segment and its own descriptor."""
+    made = A.Packed.of(spark, d)
+    descriptors = made.members.select("image_id", (F.col("seq") % 500 + 20).alias("descriptor_byte_length"))
+    out = catalog.info(A.images(spark, d), made.active, A.objects(spark, d), made.members.select("image_id", "segment_id", "frame_index"), made.segments, descriptors)
+    return out.select("seq", "image_id", "representation_kind", "stored_bytes")
+
+
 @query("""with r as (select image_id, png_sha from active where png_sha is not null union select image_id, png_sha from retired where prune_state <> 'deleted' union select image_id, png_sha from stored where (cast(substr(image_id,5) as bigint)+1)%97=0)
  select png_sha as sha256, cast(count(*) as bigint) as images from r group by 1""")
 def images_of_objects(spark, d) -> DataFrame:

@@ -206,7 +206,7 @@ class Ledger:
     def info(self, images: DataFrame | None = None) -> DataFrame:
         """Images (all of them by default) with the form they are stored in."""
         rows = self.table("images") if images is None else images
-        out = catalog.info(rows, self.active().drop("created_at"), self.table("blobs").select("sha256", "byte_length"), self.table("frame_locations"), self.table("segments"))
+        out = catalog.info(rows, self.active().drop("created_at"), self.table("blobs").select("sha256", "byte_length"), self.table("frame_locations"), self.table("segments"), self.table("png_reconstruction"))
         return out.withColumn("reference", tokens.reference(self.id, F.col("image_id")))
 
     def list(self, run: str | None = None, limit: int = 20, cursor: str | None = None) -> tuple[list[dict], str | None]:
@@ -214,7 +214,7 @@ class Ledger:
         return self.pages("images", {"run": run or None}, limit, cursor, lambda rows, **at: self.info_page(catalog.page(rows, limit, where={"run": run or None}, **at)))
 
     def info_page(self, page: DataFrame) -> DataFrame:
-        out = catalog.info_page(page, self.table("representations").drop("created_at"), self.table("blobs").select("sha256", "byte_length"), self.table("frame_locations"), self.table("segments"))
+        out = catalog.info_page(page, self.table("representations").drop("created_at"), self.table("blobs").select("sha256", "byte_length"), self.table("frame_locations"), self.table("segments"), self.table("png_reconstruction"))
         return out.withColumn("reference", tokens.reference(self.id, F.col("image_id")))
 
     def pages(self, table: str, query: dict, limit: int, cursor: str | None, rows_of) -> tuple[list[dict], str | None]:

@@ -74,6 +74,11 @@ def test_packed_frames_come_back(packed):
         got = png.meta(png.parse(store.get(out[f"k{i:02}"]["image_id"])))
         assert got == png.meta(png.parse(picture(i)))
     assert store.verify().count() == 0
+    bytes_ = {r["sha256"]: r["byte_length"] for r in store.table("blobs").collect()}
+    parts = {r["image_id"]: r["descriptor_sha"] for r in store.table("png_reconstruction").collect()}
+    colour = {r["segment_id"]: r["color_sha"] for r in store.table("segments").collect()}
+    for r in store.list(limit=50)[0]:
+        assert r["representation_kind"] == "png" or r["stored_bytes"] == bytes_[colour[r["segment_id"]]] + bytes_[parts[r["image_id"]]]
     assert code(store.get, "none") == "E_NOT_FOUND" and code(store.get, out["k00"]["image_id"], "source") == "E_SOURCE_NOT_RETAINED"
 
 
