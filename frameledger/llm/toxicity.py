@@ -78,7 +78,7 @@ class Vocabulary:
         split = [t.lower().split() for t in texts]
         if long := {w: parts(w) for w in set().union(*split) - self.code.keys() if too_long(w)}:
             split = [words if long.keys().isdisjoint(words) else [p for w in words for p in long.get(w, (w,))] for words in split]
-        if new := list(set().union(*split) - self.code.keys()):
+        if new := sorted(set().union(*split) - self.code.keys()):  # the same order in every run
             self.code.update(zip(new, range(len(self.code), len(self.code) + len(new)), strict=True))
             bucket, grams = features(new)
             self.bucket, self.grams = np.concatenate([self.bucket, bucket]), np.concatenate([self.grams, grams])
