@@ -64,7 +64,9 @@ class Encoder:
         if not zstandard:
             return zlib.compress(zlib.compress(raw, 9), 9)
         if key:
-            self.stream = zstandard.ZstdCompressor(level=19).compressobj()
+            # tables no larger than a whole segment of such frames needs
+            sized = zstandard.ZstdCompressionParameters.from_level(19, source_size=len(raw) * MOST)
+            self.stream = zstandard.ZstdCompressor(compression_params=sized).compressobj()
         return self.stream.compress(raw) + self.stream.flush(zstandard.COMPRESSOBJ_FLUSH_BLOCK)
 
     def push(self, now: np.ndarray) -> None:

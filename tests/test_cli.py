@@ -103,7 +103,7 @@ def old_store(spark, root):
 
 def test_migration_with_cuts(spark, tmp_path, monkeypatch):
     for step in ("migrate-journal", "migrate-staged", "migrate-committed", "migrate-manifest", None):
-        for way in ("resume", "restore"):
+        for way in ("resume", "restore") if step in ("migrate-staged", "migrate-manifest") else ("resume",):
             root = str(tmp_path / f"{step}-{way}")
             old_store(spark, root)
             with pytest.raises(LedgerError, match="E_SCHEMA_VERSION"):

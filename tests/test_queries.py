@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from frameledger.plans import registry
+from frameledger.plans import analogs, registry
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -18,6 +18,21 @@ def db():
     return con
 
 
+@pytest.fixture(scope="module", autouse=True)
+def packed_once():
+    """Packing the same table is the same; queries of this module share what it gives."""
+    made, real = {}, analogs.Packed.of.__func__
+
+    def once(cls, spark, sf_dir, runs=None):
+        if runs is not None:
+            return real(cls, spark, sf_dir, runs)
+        return made.setdefault(sf_dir, None) or made.update({sf_dir: real(cls, spark, sf_dir)}) or made[sf_dir]
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(analogs.Packed, "of", classmethod(once))
+        yield
+
+
 def frame(table):
     out = table.to_pandas(types_mapper=pd.ArrowDtype)
     return out[sorted(out.columns)].astype(str).sort_values(sorted(out.columns)).reset_index(drop=True)
