@@ -77,11 +77,13 @@ def spread_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", r
     Keys with more than a thousandth of big's rows, of which there are fewer than a thousand, are split over SALTS tasks.
     """
     n = big.count() if rows is None else rows
-    hot = [r[0] for r in big.groupBy(key).count().where(F.col("count") > max(HOT_ROWS, n // HOT_SHARE)).collect()] if n > HOT_ROWS else []
+    code = F.xxhash64(key)  # keys may be structs; two keys of one code are split alike
+    hot = [r[0] for r in big.groupBy(code).count().where(F.col("count") > max(HOT_ROWS, n // HOT_SHARE)).collect()] if n > HOT_ROWS else []
     if not hot:
         return big.join(small, key, how)
-    among, salt = F.col(key).isin(hot), unused("salt", big, small)
-    dealt = big.withColumn(salt, F.when(among, F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int")).otherwise(0))
+    among, salt = code.isin(hot), unused("salt", big, small)
+    told_apart = [c for c, kind in big.dtypes if "map<" not in kind and "variant" not in kind]
+    dealt = big.withColumn(salt, F.when(among, F.pmod(F.xxhash64(*told_apart), F.lit(SALTS)).cast("int")).otherwise(0))
     copies = small.withColumn(salt, F.explode(F.when(among, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
     return dealt.join(copies, [key, salt], how).drop(salt)
 

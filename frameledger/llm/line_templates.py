@@ -139,10 +139,10 @@ def line_dedup(docs: DataFrame, counts: bool = True) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "lines")
     names = [c for c in docs.columns if not counts or c not in ("n_lines", "n_dropped")]
-    # one plan at every size; a text's list is no longer than its lines, and AQE splits a text that very many rows share
+    # the lists are never broadcast; a text's list is no longer than its lines, and a text that very many rows share is split
     key, drop = unused("content", docs), unused("drop", docs)
     found = drops(docs.where("text is not null").select("text"), scratch).select(F.struct("c1", "c2").alias(key), F.col("drop").alias(drop)).hint("merge")
-    rows = docs.select(*names, content(F.col("text")).alias(key)).join(found, key, "left")
+    rows = spread_join(docs.select(*names, content(F.col("text")).alias(key)), found, key)
     split = F.split("text", "\n")
     kept = F.filter(split, lambda x, i: ~F.array_contains(F.col(drop), i))
     touched = F.col(drop).isNotNull() & F.col("text").isNotNull()
