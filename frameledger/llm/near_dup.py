@@ -228,8 +228,8 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     scratch.drop("runs", "ids", "sets", "members", "mixed", "open", "tokens")
 
     named = sound.select("doc_id", "n_shingles", "set_key")
-    full = spread_join(named, reps, "set_key", "inner").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    full = full.select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
+    places = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("component_id"))
+    full = spread_join(named, places, "set_key", "inner").select("doc_id", "n_shingles", "component_id")
     rest = sketches.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.unionAll(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

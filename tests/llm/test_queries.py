@@ -239,4 +239,14 @@ def test_hot_keys_are_split(spark, monkeypatch):
     for how in ("left", "inner", "left_semi"):
         got = sorted(map(tuple, common.spread_join(big, small, "k", how).select("id").collect()))
         assert got == sorted(map(tuple, big.join(small, "k", how).select("id").collect()))
+    for key in ("struct(k, 1 as j) as s", "cast(cast(k as string) as binary) as s"):
+        left, right = big.selectExpr("*", key, "map('a', id) as m", "1 as salt"), small.selectExpr(key, "v")
+        got = common.spread_join(left, right, "s")
+        assert sorted(map(tuple, got.select("id", "v", "salt").collect()), key=str) == sorted(map(tuple, left.join(right, "s", "left").select("id", "v", "salt").collect()), key=str) and len(got.columns) == 6
+    monkeypatch.setattr(common, "HOT_ROWS", 100)
+    texts = spark.range(300).selectExpr("id as doc_id", "case when id % 3 > 0 then 'one text of three lines\\nthat many hold\\nas it is' else concat('own ', uuid(), ' words') end as text")
+    from frameledger.llm import exact_dedup, line_templates, near_dup
+
+    assert near_dup.near_duplicates(texts).where("kept").count() == 101 == exact_dedup.exact_dedup(texts).where("kept").count() and line_templates.line_dedup(texts).count() == 300
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
     assert "salt" in common.spread_join(big, small, "k")._jdf.queryExecution().optimizedPlan().toString()
