@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameledger.functions import canonical, columns, tokens
-from frameledger.operators import catalog, judgments, packing, pruning
+from frameledger.operators import blocks, catalog, judgments, packing, pruning
 from frameledger.sources.shared import held
 
 from . import analogs as A
@@ -306,12 +306,14 @@ def verify_blob_hash(spark, d) -> DataFrame:
 
 
 def text_frames(spark, d) -> DataFrame:
-    """Turns of a conversation as one-row frames of equal width."""
+    """Turns as one-row frames, 128 of a conversation at most in a segment, which gives them their width. A conversation of any length is spread over tasks."""
     rows = A.table(spark, d, "conversations").select("conv_id", "turn", F.col("text").cast("binary").alias("samples"))
-    width = F.max(F.octet_length("samples")).over(Window.partitionBy("conv_id"))
-    rows = rows.withColumn("width", (F.ceil(width / 3)).cast("int")).withColumn("place", (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).cast("long"))
-    padded = F.expr("cast(rpad(hex(samples), width * 6, '00') as string)")
-    return rows.select(F.concat_ws("-", F.lit("c"), F.col("conv_id").cast("string")).alias("segment_id"), F.col("place").alias("frame_no"), "width", F.lit(1).alias("height"), F.lit(3).alias("channels"), F.unhex(padded).alias("samples"), F.col("samples").alias("text"), F.count(F.lit(1)).over(Window.partitionBy("conv_id")).alias("n"))
+    rows = blocks.numbered(rows, ["conv_id"], "turn", "place")
+    rows = rows.withColumn("segment_id", F.concat_ws("-", F.lit("c"), F.col("conv_id").cast("string"), F.floor(F.col("place") / 128).cast("string")))
+    segment = Window.partitionBy("segment_id")
+    rows = rows.withColumns({"width": F.ceil(F.max(F.octet_length("samples")).over(segment) / 3).cast("int"), "n": F.count(F.lit(1)).over(segment)})
+    padded = F.unhex(F.expr("cast(rpad(hex(samples), width * 6, '00') as string)"))
+    return rows.select("segment_id", (F.col("place") % 128).alias("frame_no"), "width", F.lit(1).alias("height"), F.lit(3).alias("channels"), padded.alias("samples"), F.col("samples").alias("text"), "n")
 
 
 @query("""with places as (select *, row_number() over (partition by conv_id order by turn)-1 as place
@@ -319,9 +321,7 @@ def text_frames(spark, d) -> DataFrame:
  select 'c-'||conv_id||'-'||(place//128) as segment_id, cast(place%128 as integer) as frame_index, sha256(text) as text_sha256, case when n<2 then 'skipped' else 'coded' end as status from parts""")
 def codec_roundtrip(spark, d) -> DataFrame:
     """All turns: a conversation is cut into parts of 128 frames at most; the turn of a one-turn part is not coded and stays as it is."""
-    place = F.col("frame_no")
-    frames = text_frames(spark, d).withColumn("segment_id", F.concat_ws("-", "segment_id", F.floor(place / 128).cast("string"))).withColumn("frame_no", place % 128)
-    frames = held(frames.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("segment_id"))))
+    frames = held(text_frames(spark, d))
     coded = frames.where("n >= 2")
     segments = columns.encode_groups(coded.withColumns({"group_id": F.col("segment_id"), "image_id": F.concat_ws("/", "segment_id", F.col("frame_no").cast("string"))}))
     out = columns.decode_segments(segments.withColumn("segment_id", F.col("group_id")))

@@ -1,10 +1,13 @@
 """Every registered query of the catalog against its SQL in DuckDB, and the shape of some plans."""
 
+import os
+
 import duckdb
 import pandas as pd
 import pytest
 
 from frameledger.plans import analogs, registry
+from frameledger.sources import shared
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -19,7 +22,7 @@ def db():
 
 
 @pytest.fixture(scope="module", autouse=True)
-def packed_once():
+def packed_once(spark):
     """Packing the same table is the same; queries of this module share what it gives."""
     made, real = {}, analogs.Packed.of.__func__
 
@@ -31,6 +34,9 @@ def packed_once():
     with pytest.MonkeyPatch.context() as patch:
         patch.setattr(analogs.Packed, "of", classmethod(once))
         yield
+    some = shared.held(spark.range(1))
+    shared.sweep(spark)
+    assert not shared.MADE and not any(os.path.exists(f.removeprefix("file://")) for f in some.inputFiles())
 
 
 def frame(table):
