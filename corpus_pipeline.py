@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameledger.llm import line_templates, mixing, near_dup, sentencepiece_codec, toxicity
-from frameledger.llm.common import Scratch, sweep, table, unused
+from frameledger.llm.common import MADE, Scratch, sweep, table, unused
 from frameledger.llm.queries import tokenizer
 
 #: Share of tokens that the mixture keeps.
@@ -52,11 +52,12 @@ STAGES = [("toxicity", drop_toxic), ("line dedup", drop_lines), ("MinHash near-d
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    others = list(MADE)  # scratch of results that someone else may still read
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = scratch.write(stage(spark, docs, sf_dir), f"stage{i}")
-        sweep(spark, besides=[scratch.root])
+        sweep(spark, besides=[*others, scratch.root])
         if i:
             scratch.drop(f"stage{i - 1}")
     return docs
