@@ -99,8 +99,6 @@ def export(store, image_id: str, content: bytes, output: str | None) -> dict:
 
 def run(a: argparse.Namespace) -> tuple[dict, LedgerError | None]:
     """What a command gives, and the error that leaves a report behind, if any."""
-    from pyspark.sql import functions as F
-
     from frameledger.sources import files, migration
     from frameledger.sources.ledger import Ledger, pack_report
 
