@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, digest, some, spread_join
+from .common import Scratch, some, spread_join
 
 #: The characters [\x20\x09-\x0D], which equality ignores.
 BLANKS = " \t\n\x0b\x0c\r"
