@@ -17,6 +17,8 @@ BATCH_BYTES = 4 << 20
 HOT_ROWS, HOT_SHARE, SALTS = 1_000_000, 1000, 64
 #: Rows of a narrow table in a file; with fewer, a table of known length isn't spread over more files.
 FILE_ROWS = 16_384
+#: Rows of whole texts or sets in a file, likewise.
+FILE_TEXTS = 4096
 #: Folders that this process has made and not yet deleted.
 MADE: list[str] = []
 
@@ -41,10 +43,10 @@ class Scratch:
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         MADE.append(self.root)
 
-    def write(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
-        """df written and read again. rows: a bound of its length, if known, by which small tables get few files."""
+    def write(self, df: DataFrame, name: str, rows: int | None = None, each: int = FILE_ROWS) -> DataFrame:
+        """df written and read again. rows: a bound of its length, if known, by which small tables get few files of each rows."""
         path = f"{self.root}/{name}"
-        (df if rows is None else df.coalesce(-(-rows // FILE_ROWS) or 1)).write.parquet(path)
+        (df if rows is None else few(df, rows, each)).write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -52,6 +54,11 @@ class Scratch:
             delete(self.spark, f"{self.root}/{name}")
 
 
+def few(df: DataFrame, rows: int, each: int = FILE_ROWS) -> DataFrame:
+    """df in no more partitions than its rows need."""
+    return df.coalesce(-(-rows // each) or 1)
+
+
 def delete(spark: SparkSession, folder: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bound_batches, frugal, slices, some, spread_join
+from .common import FILE_ROWS, FILE_TEXTS, Scratch, bound_batches, few, frugal, slices, some, spread_join
 from .components import components
 from .shingles import minhashes, mixed, shingle_sets
 
@@ -168,7 +168,7 @@ def across(open_sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     counts[got.column("bucket").to_numpy()] = got.column("count").to_numpy()
     sent = open_sets.sparkSession.sparkContext.broadcast(counts)
     tokens = scratch.write(
-        open_sets.select("rep", "root", "shingles").mapInArrow(lambda it: frugal(prefix_batches(it, percent, sent.value)), "token long, rep long, root long, n long, place long, shows boolean"), "tokens"
+        open_sets.select("rep", "root", "shingles").mapInArrow(lambda it: frugal(prefix_batches(it, percent, sent.value)), "token long, rep long, root long, n long, place long, shows boolean"), "tokens", open_sets.count(), FILE_TEXTS
     )
     x, y = tokens.where("shows").alias("x"), tokens.alias("y")
 
@@ -198,19 +198,20 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     bound_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    sketches = scratch.write(raw.mapInArrow(lambda it: frugal(sketch_batches(it, forest)), "doc_id long, n_shingles long, set_key binary, sketch binary"), "sketches")
+    total = raw.count()
+    sketches = scratch.write(raw.mapInArrow(lambda it: frugal(sketch_batches(it, forest)), "doc_id long, n_shingles long, set_key binary, sketch binary"), "sketches", total, FILE_TEXTS)
     sound = sketches.where("doc_id is not null and n_shingles > 0")
-    reps = scratch.write(sound.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "reps", sketches.count())
+    reps = scratch.write(sound.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "reps", total)
 
     chosen = sound.select(F.col("doc_id").alias("rep"), "sketch").join(reps.select("rep"), "rep", "left_semi")
     sorted_orders = orders(chosen, forest).repartitionByRange(parts, "place", "rep").sortWithinPartitions("place", "rep")
-    runs = scratch.write(sorted_orders.mapInArrow(lambda it: frugal(run_batches(it, forest.depth)), "region long, rep long, previous long, more boolean"), "runs")
+    runs = scratch.write(sorted_orders.mapInArrow(lambda it: frugal(run_batches(it, forest.depth)), "region long, rep long, previous long, more boolean"), "runs", reps.count() * forest.trees, 4 * FILE_ROWS)
     neighbours = runs.where("previous is not null").select(F.least("previous", "rep").alias("a"), F.greatest("previous", "rep").alias("b")).where("a <> b").distinct()
 
     size = runs.count()
     ids = scratch.write(runs.select("rep").distinct(), "ids", size)
     asked = ids.select(F.col("rep").alias("doc_id"))
-    sets = scratch.write(raw.where("doc_id is not null").join(some(asked, MOST_IDS), "doc_id", "left_semi").mapInArrow(lambda it: frugal(set_batches(it, forest.width)), "rep long, shingles array<long>"), "sets")
+    sets = scratch.write(raw.where("doc_id is not null").join(some(asked, MOST_IDS), "doc_id", "left_semi").mapInArrow(lambda it: frugal(set_batches(it, forest.width)), "rep long, shingles array<long>"), "sets", ids.count(), FILE_TEXTS)
     near = scratch.write(confirmed(neighbours, sets, forest.percent), "near", size)
     roots = components(near, scratch, "first")
 
@@ -220,7 +221,7 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     mixed_regions = scratch.write(mixed_regions, "mixed", size)
     found = members.join(F.broadcast(mixed_regions), "region", "left_semi") if mixed_regions.count() <= MOST_IDS else spread_join(members, mixed_regions, "region", "left_semi")
     opened = found.select("rep", "root").distinct()
-    open_sets = scratch.write(opened.join(sets, "rep").select("rep", "root", "shingles"), "open", size)
+    open_sets = scratch.write(opened.join(sets, "rep").select("rep", "root", "shingles"), "open", size, FILE_TEXTS)
     if open_sets.limit(1).count():
         further = scratch.write(confirmed(across(open_sets, forest.percent, scratch), sets, forest.percent), "further")
         if further.limit(1).count():
@@ -231,7 +232,7 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     places = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("root", "rep").alias("component_id"))
     full = spread_join(named, places, "set_key", "inner").select("doc_id", "n_shingles", "component_id")
     rest = sketches.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return full.unionAll(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return few(full.unionAll(rest), total).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def missed(forest: Forest, similarity: float) -> float:
