@@ -295,10 +295,11 @@ def expected_present(spark, d) -> DataFrame:
 @query("select sha256(text) as sha256, case when max(doc_id)%10=0 then 'missing' when max(doc_id)%10=1 then 'length' else 'hash' end as issue from documents group by 1 having max(doc_id)%10<3")
 def verify_blob_hash(spark, d) -> DataFrame:
     rows = A.table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("sha256")).agg(F.max("doc_id").alias("id"), F.max("text").alias("text"))
-    objects = rows.select("sha256", F.octet_length("text").cast("long").alias("byte_length"))
-    broken = F.when(F.col("id") % 10 == 1, F.concat("text", F.lit("x"))).when(F.col("id") % 10 == 2, F.concat(F.expr("left(text, char_length(text) - 1)"), F.lit("\x01"))).otherwise(F.col("text"))
-    # the last character of a text of this kind is one byte
-    present = rows.where("id % 10 <> 0").select("sha256", broken.cast("binary").alias("content"))
+    n = F.col("id") % 10
+    # a byte too many, whatever the text ends in: its length tells, or its hash alone where the length on record has it too
+    more = F.concat(F.coalesce("text", F.lit("")), F.lit("x"))
+    objects = rows.select("sha256", F.octet_length(F.when((n < 3) & (n != 1), more).otherwise(F.col("text"))).cast("long").alias("byte_length"))
+    present = rows.where(~n.eqNullSafe(0)).select("sha256", F.when(n < 3, more).otherwise(F.col("text")).cast("binary").alias("content"))
     return pruning.blob_issues(objects, present)
 
 

@@ -478,7 +478,7 @@ class Ledger:
         """code and key of every violation: bytes, hashes and paths of objects, absent references, images against their objects,
         segments against their images, constraints of the catalog. unreferenced_candidate is no error."""
         blobs, live, active = self.table("blobs"), self.live(), self.active()
-        bytes_ = pruning.blob_issues(blobs.select("sha256", "byte_length"), blobs.select("sha256", "content")).select(F.concat(F.lit("blob_"), "issue").alias("code"), F.col("sha256").alias("key"))
+        bytes_ = pruning.blob_issues(blobs.select("sha256", "byte_length"), blobs.where("content is not null").select("sha256", "content")).select(F.concat(F.lit("blob_"), "issue").alias("code"), F.col("sha256").alias("key"))
         paths = as_objects(blobs.withColumnsRenamed({"media_type": "m", "relative_path": "p"})).where("not (m <=> media_type and p <=> relative_path)").select(F.lit("blob_path").alias("code"), F.col("sha256").alias("key"))
         retired = self.retired().where("prune_state <> 'deleted'").select(F.col("png_sha").alias("sha256"))
         absent = live.select("sha256").distinct().join(blobs.select("sha256"), "sha256", "left_anti").select(F.lit("blob_missing").alias("code"), F.col("sha256").alias("key"))

@@ -63,6 +63,18 @@ def test_candidates_beyond_5000(spark):
     pd.testing.assert_frame_equal(got, frame(con.sql(registry.ORACLES["pack_candidates"]).to_arrow_table()))
 
 
+@pytest.mark.parametrize("odd", [0, 1, 2, 3, 9])
+def test_blob_issues_whatever_a_text_ends_in(spark, tmp_path, odd):
+    """Null, empty, two bytes and three at the end, a control character; a copy with a smaller number; numbers below zero."""
+    texts = [None, "", "é", "no 界", "one\x01", "x", "plain"]
+    rows = [(10 * i + odd, text) for i, text in enumerate(texts)] + [(-10 - odd, "plain"), (-20 - odd, "below"), (-30 - odd, "è")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got, want = registry.QUERIES["verify_blob_hash"](spark, str(tmp_path)).toArrow(), con.sql(registry.ORACLES["verify_blob_hash"]).to_arrow_table()
+    pd.testing.assert_frame_equal(frame(got), frame(want))
+
+
 @pytest.mark.parametrize("name", ["verify_rollup", "verify_constraints"])
 def test_partial_keys_are_no_duplicates(spark, tmp_path, name):
     """Two halved keys of one run have the same frame number."""
